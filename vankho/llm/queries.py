@@ -9,12 +9,22 @@ from vankho.llm.canonical import not_canonical
 from vankho.llm.leakage import find_leaks
 from vankho.llm.packing import fill, pack
 from vankho.llm.residue import residue_documents
+from vankho.llm.scans import noise_lines, repaired
 from vankho.runtime import table
 
 #: Table and text column of problem 5.
 TEXTS = [("metadata", "title"), ("relation_candidates", "evidence"), ("raw_pages", "text")]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return noise_lines(table(spark, sf_dir, "raw_pages"))
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous paragraphs of every page."""
+    return repaired(table(spark, sf_dir, "raw_pages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [not_canonical(table(spark, sf_dir, t), c).select(F.lit(t).alias("source_table"), "row_id") for t, c in TEXTS]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
@@ -43,5 +53,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 SQL: dict[str, str] = {}
