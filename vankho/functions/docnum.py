@@ -58,7 +58,7 @@ def _scored(typed: Column, options: list[tuple[str, str]]) -> Column:
 
 
 def with_number_parts(df: DataFrame, column: str, known: Issuers) -> DataFrame:
-    """`df` with _number, _year, _kind and _code of the typed document number in `column`; null where the text does not tell them.
+    """`df` with _number, _year, _kind, _short (the code as typed) and _code of the typed document number in `column`; null where the text does not tell them.
 
     Every step is a projection of its own, so that no step is evaluated twice.
     """
@@ -92,7 +92,7 @@ def with_number_parts(df: DataFrame, column: str, known: Issuers) -> DataFrame:
         _short=F.when(F.col("_words").contains(" ") & F.exists(F.array(*[F.lit(n) for n, _ in known.names]), lambda n: F.contains(F.col("_words"), n)), F.lit("")).when(F.length("_words") > 12, F.lit("")).when(F.col("_after") != "", F.col("_after")).otherwise(F.col("_before")),
         _words=F.col("_words"),
     )
-    parts = ["_number", "_year", "_kind"]
+    parts = ["_number", "_year", "_kind", "_short"]
     exact = F.array(*[F.lit(c) for c in known.codes])
     by_code = F.filter(_scored(F.col("_short"), [(c, c) for c in known.codes]), lambda o: o["d"] <= 1)
     by_name = F.filter(_scored(F.col("_words"), list(known.names)), lambda o: o["d"] <= F.length("_words") / 5)
