@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vankho.llm.canonical import not_canonical
 from vankho.llm.leakage import find_leaks
+from vankho.llm.names import variants
 from vankho.llm.packing import fill, pack
 from vankho.llm.residue import residue_documents
 from vankho.llm.scans import noise_lines, repaired
@@ -16,6 +17,10 @@ from vankho.runtime import table
 TEXTS = [("metadata", "title"), ("relation_candidates", "evidence"), ("raw_pages", "text")]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(*[table(spark, sf_dir, t) for t in ("metadata", "relation_candidates", "issuing_bodies")])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise_lines(table(spark, sf_dir, "raw_pages"))
 
@@ -53,5 +58,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_text": p4_text, "p5_found": p5_found, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found}
 SQL: dict[str, str] = {}
