@@ -21,6 +21,8 @@ from vankho.llm.words import words
 from vankho.runtime import cut
 
 SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
+#: Bytes of text that a task works on at once.
+SLICE = 2_000_000
 #: Blocks of 16 bits: two hashes within 3 bits share at least one.
 BLOCKS = 4
 
@@ -78,22 +80,28 @@ NOTICES = [
 MADE_UP = "fabilo velorum vindras santibe proxima corpelu duntrec ipsamel amestin hespira lacerund vortano nobitum dolquar teluri quolent".split()
 _QUOTED = r"[\"'“”‘’`]"
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
-_NOTICE = re.compile("|".join(f"(?:{p})" for p in [*NOTICES, rf"(?:\b(?:{'|'.join(MADE_UP)})\b[ .,]*){{4,}}"]), re.IGNORECASE)
-#: One cheap test for a whole batch: lines without any of these cannot match the patterns above.
-_HINT = "[{}<>«@$#%]|__|\\[[^0-9]|(?i:HTTP/|^\\s*[45][0-9]{2} |Traceback|File \"|Trang b|r.t ti|B.n kh|Phi.n l|H. th.ng .ang b|Too many|K.t n.i t|JavaScript|scripts|tr.nh duy|TODO|FIXME|sample text|replace this|lorem|gi. ch|m.u|th.|c.p nh|n.i dung|bi.n t|b. sung|xx|abc|xyz|asdf|test|" + "|".join(MADE_UP) + ")"
+_NOTICE = "|".join(f"(?:{p})" for p in [*NOTICES, rf"(?:\b(?:{'|'.join(MADE_UP)})\b[ .,]*){{4,}}"])
 
 
-def trusted(line: str) -> bool:
-    """True if a line is residue by the stated patterns alone."""
-    if _NOTICE.search(line):
-        return True
+def left_over(line: str) -> bool:
+    """True if a line has a placeholder that does not stand alone between quotation marks."""
     for m in _PLACEHOLDER.finditer(line):
-        quoted = re.search(_QUOTED + r"\s*$", line[: m.start()]) and re.match(r"\s*" + _QUOTED, line[m.end() :])
-        if not quoted:
+        if not (re.search(_QUOTED + r"\s*$", line[: m.start()]) and re.match(r"\s*" + _QUOTED, line[m.end() :])):
             return True
     return False
 
 
+def trusted(lines: pa.Array) -> np.ndarray:
+    """Which lines are residue by the stated patterns alone. Whole batches are matched by Arrow; lines with a placeholder are looked at once more."""
+    found = np.zeros(len(lines), bool)
+    # a line with none of these letters matches no pattern
+    marks = pc.match_substring_regex(lines, r"[{}<>«@$#%\[]|__").to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(marks)
+    found[at] = [left_over(line) for line in lines.take(pa.array(at)).to_pylist()]
+    found |= pc.match_substring_regex(lines, _NOTICE, ignore_case=True).to_numpy(zero_copy_only=False)
+    return found
+
+
 def _lines(text: pa.Array, doc: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Non-blank lines of a batch, and each one's document."""
     split = pc.split_pattern(text.cast(pa.large_string()), "\n")
@@ -102,6 +110,17 @@ def _lines(text: pa.Array, doc: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return lines.filter(solid), doc[parent.filter(solid).to_numpy(zero_copy_only=False)]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about SLICE bytes of text in the second column, at least one row each: a text is never cut."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // SLICE
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def shingles(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all five-word shingles of all segments and the segment of each; shorter segments are one shingle."""
     n = np.diff(starts)
@@ -182,14 +201,12 @@ def segments(documents: DataFrame) -> DataFrame:
     """(doc_id, class, simhash, label) of every line with words; label: it is residue by the stated patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lines, doc = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
             key, sim, _, _ = _classes(lines)
-            label = pc.match_substring_regex(lines, _HINT).to_numpy(zero_copy_only=False).copy()
-            hinted = np.flatnonzero(label)
-            label[hinted] = [trusted(line) for line in lines.take(pa.array(hinted)).to_pylist()]
+            label = trusted(lines)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key), pa.array(sim), pa.array(label)], names=["doc_id", "class", "simhash", "label"])
 
     given = documents.where("text is not null").select("doc_id", "text")
@@ -201,7 +218,7 @@ def class_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = documents.where("text is not null").select(F.col("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
