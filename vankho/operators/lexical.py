@@ -16,11 +16,11 @@ def postings(corpus: DataFrame, kind: str = "a") -> DataFrame:
     return found.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.max("length").alias("length"), F.count("*").alias("tf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, kind: str = "a") -> DataFrame:
-    """(query_id, id, score, rank): the k best of corpus(id, text) for each of queries(query_id, text).
+def bm25_scores(corpus: DataFrame, queries: DataFrame, kind: str = "a") -> DataFrame:
+    """(query_id, id, score) of every document of corpus(id, text) that has a term of queries(query_id, text).
 
     Okapi weights; a negative weight becomes FLOOR times the mean weight of the vocabulary; query terms count as often as they occur.
-    Scores are rounded to four digits before ranking, ties go by id. Documents without any query term are not listed, nor queries
+    Scores are rounded to four digits and ranked as such, ties go by id. Documents without any query term are not listed, nor queries
     without tokens. Queries meet postings by term, scores are added up before ranking.
     """
     index = postings(corpus, kind)
@@ -32,6 +32,11 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, kind: str = "a") ->
     asked = queries.select("query_id", F.explode(tokens(F.col("text"), kind)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighted = asked.join(idf, "term").join(index, "term").crossJoin(F.broadcast(size.select("mean")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = weighted.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
+    return weighted.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, kind: str = "a") -> DataFrame:
+    """(query_id, id, score, rank): the k best by `bm25_scores` for each query."""
+    scored = bm25_scores(corpus, queries, kind)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
