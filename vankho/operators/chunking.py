@@ -50,7 +50,7 @@ def sentence_chunks(docs: DataFrame, largest: int = 800, least: int = 150) -> Da
 
     The fold runs over a document's own sentences. Lengths count sentences without the blanks that join them.
     """
-    parts = F.split(F.regexp_replace("text", r"(?<=[.!?])\s+(?=[\p{Lu}0-9])|\n{2,}", "\\ue010"), "\\ue010".encode().decode("unicode_escape"), -1)
+    parts = F.split(F.regexp_replace("text", r"(?<=[.!?])\s+(?=[\p{Lu}0-9])|\n{2,}", "\ue010"), "\ue010", -1)
     sentences = docs.where("text is not null").select("doc_id", F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "").alias("s"))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
