@@ -18,7 +18,8 @@ def read_chunks(spark: SparkSession, path: str, strategy: str | None = None) ->
     tell them.
     """
     whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), "value")
-    listed = F.coalesce(F.from_json("value", f"array<struct<{_struct(_CHUNK)}>>"), F.from_json("value", f"struct<chunks:array<struct<{_struct(_CHUNK)}>>>")["chunks"])
+    row = f"struct<{_struct(_CHUNK)}>"
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{row}>")).otherwise(F.from_json("value", f"struct<chunks:array<{row}>>")["chunks"])
     rows = whole.select("file", F.posexplode(listed).alias("place", "c")).select("file", (F.col("place") + 1).alias("place"), "c.*")
     return rows if strategy is None else rows.where(F.col("strategy") == strategy)
 
