@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vankho.functions.text import tokens
+from vankho.functions.text import LEGAL_TOKEN, tokens
 from vankho.operators import chunking, fusion
 from vankho.operators.dense import cosine_top
 from vankho.operators.lexical import bm25
@@ -116,7 +116,8 @@ def h_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 # lexical and dense retrieval
 
-_TOKENS = {"a": "regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)')", "b": "regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)')"}
+_LEGAL = f"list_filter(list_transform(regexp_extract_all(lower(text), '{LEGAL_TOKEN}'), lambda x: regexp_replace(x, '^[/._\\-]+|[/._\\-]+$', '', 'g')), lambda x: x <> '')"
+_TOKENS = {"c": _LEGAL, "a": "regexp_extract_all(lower(text), '([\\p{L}\\p{N}]+)')", "b": "regexp_extract_all(lower(text), '([\\p{L}\\p{N}_]+)')"}
 
 
 def _bm25_sql(k: int, kind: str = "a") -> str:
@@ -148,7 +149,7 @@ def l_bm25_words(spark: SparkSession, d: str) -> DataFrame:
     return bm25(_corpus(spark, d), _questions(spark, d), 20, "b")
 
 
-@query()
+@query(f"WITH {_bm25_sql(5, 'c')} SELECT query_id, id, score, rank FROM lex")
 def l_bm25_legal(spark: SparkSession, d: str) -> DataFrame:
     """L3: BM25, whole document numbers as tokens, five results."""
     return bm25(_corpus(spark, d), _questions(spark, d), 5, "c")
