@@ -58,7 +58,7 @@ def test_planted_leaks(spark):
         docs.append((d, filler(30) + "\n" + ",  ".join(part) + ". " + filler(20), "clash"))
         if kind < 4:
             want.add((d, i))
-    docs += [(1000, None, "x"), (1001, "", "x"), (1002, filler(50_000), "x"), (1003, docs[0][1], "x")]
+    docs += [(None, docs[0][1], "x"), (1000, None, "x"), (1001, "", "x"), (1002, filler(50_000), "x"), (1003, docs[0][1], "x")]
     want.add((1003, next(i for d, i in want if d == 0)))
     df = spark.createDataFrame(docs, "doc_id bigint, text string, item_id string")
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(99, None)], "item_id bigint, item_text string")

@@ -41,7 +41,7 @@ def test_least_sum_of_squares(seed):
 def test_documents(spark):
     rnd = random.Random(5)
     docs = [(i, " ".join(rnd.choice(["quỹ", "ledger", "12", "thẻ"]) for _ in range(rnd.randrange(1, 120))), 7) for i in range(300)]
-    docs += [(1000, "từ " * 3000, 7), (1001, "", 7), (1002, None, 7)]
+    docs += [(1000, "từ " * 3000, 7), (1001, "", 7), (1002, None, 7), (None, "không có mã", 7)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, shard bigint")
     counts = {r.doc_id: r.n_tokens for r in token_counts(df).collect()}
     packed = pack(df, 512, shard=100).cache()

@@ -152,8 +152,8 @@ def _chains(text: np.ndarray, item: np.ndarray, word: np.ndarray, place: np.ndar
 def find_leaks(documents: DataFrame, items: DataFrame, spans: bool = False) -> DataFrame:
     """(doc_id, item_id) of every document that holds a third of an item's words in one place and in order.
 
-    spans: instead (doc_id, begin, end, item_ids), the merged character spans to remove. Null and empty texts give no row, an empty
-    table of items none at all; equal texts each give their own rows.
+    spans: instead (doc_id, begin, end, item_ids), the merged character spans to remove. Null and empty texts and rows without doc_id give
+    no row, an empty table of items none at all; equal texts each give their own rows.
     """
     rows = items.select("item_id", "item_text").where("item_id is not null and item_text is not null").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
@@ -189,7 +189,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, spans: bool = False) -> D
             yield shard(ids, columns)
 
     schema = "doc_id bigint, begin bigint, end bigint, item_ids array<bigint>" if spans else "doc_id bigint, item_id bigint"
-    given = documents.select("doc_id", "text").where("text is not null")
+    given = documents.select("doc_id", "text").where("text is not null and doc_id is not null")
     if not len(wanted.phrases):
         return documents.sparkSession.createDataFrame([], schema)
     return given.mapInArrow(run, schema)

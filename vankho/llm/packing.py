@@ -50,7 +50,7 @@ class _Counts(dict):
 
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens); a null text has no row, an empty one 0 tokens."""
+    """(doc_id, n_tokens); a null text or doc_id has no row, an empty text 0 tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pattern = _encoder(tokenizer)
@@ -60,7 +60,7 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFram
             sizes = [sum(map(count, pieces(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return documents.where("text is not null and doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:

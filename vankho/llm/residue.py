@@ -209,13 +209,13 @@ def segments(documents: DataFrame) -> DataFrame:
             label = trusted(lines)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key), pa.array(sim), pa.array(label)], names=["doc_id", "class", "simhash", "label"])
 
-    given = documents.where("text is not null").select("doc_id", "text")
+    given = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
     return given.mapInArrow(run, "doc_id bigint, class bigint, simhash bigint, label boolean")
 
 
 def class_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, shingles) of the wanted classes (class, doc_id), from one document that holds each."""
-    texts = documents.where("text is not null").select(F.col("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -238,7 +238,7 @@ def _tables(classes: DataFrame) -> DataFrame:
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
-    """doc_id of each document with residue. Null, empty and blank texts are none; equal texts each give their row."""
+    """doc_id of each document with residue. Null, empty and blank texts and rows without doc_id are none; equal texts each give their row."""
     lines = cut(segments(documents))
     every = cut(lines.groupBy("class", "simhash").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id")))
     labelled = every.where("label").select("class", "simhash", "doc_id")
