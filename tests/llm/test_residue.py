@@ -46,3 +46,39 @@ def test_empty(spark, rows):
 def test_digits_and_codes_do_not_part_classes():
     a, b, c = R._classes(pa.array(["Mã tham chiếu 072045b5bc của trang", "Mã tham chiếu 18f81ed376 của trang", "Mã tham chiếu của trang"]))[0]
     assert a == b != c
+
+
+NOTICE = "Rất tiếc, đã có lỗi xảy ra khi tải văn bản mà bạn vừa yêu cầu từ kho lưu trữ điện tử của ngân hàng nên xin hãy quay về trang chủ rồi thử lại sau ít phút hoặc gọi cho tổng đài hỗ trợ khách hàng"
+
+
+def _found(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id bigint, text string")
+    return {r.doc_id for r in R.residue_documents(df).collect()}
+
+
+def test_every_near_duplicate_of_residue_is_found(spark):
+    """Variants at 0.8 or more whose own pattern is broken, from line to line, against brute force."""
+    whole = f"{NOTICE} {BODY}"
+    words, rnd = whole.split(), np.random.default_rng(5)
+    texts = [whole]
+    for _ in range(60):
+        # the first word, which the pattern asks for, and one to three others
+        own = ["Thật", *words[1:]]
+        for at in rnd.integers(1, len(words), rnd.integers(1, 4)):
+            own[at] = f"chữ{'abcdefgh'[rnd.integers(8)]}"
+        texts.append(" ".join(own))
+    sets = [set(s.tolist()) for t in texts for s in [R._classes(pa.array([t]))[1]]]
+    reached, more = {0}, {0}
+    while more:
+        more = {j for i in more for j in range(len(texts)) if j not in reached and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        reached |= more
+    assert len(reached) > 20
+    found = {i - 1 for i in _found(spark, texts)}
+    near = {j for j in range(len(texts)) if len(sets[0] & sets[j]) >= 0.8 * len(sets[0] | sets[j])}
+    assert near <= found <= reached
+
+
+def test_labels_do_not_spread_without_the_residue(spark):
+    """The same text without its placeholder, with the placeholder filled in, and without a notice before it is no residue."""
+    texts = ["Theo [Tên đơn vị] thì " + BODY, BODY, "Theo Chi nhánh Hà Nội thì " + BODY, "404 Không tìm thấy trang. " + BODY, " ".join(["Theo [Tên đơn vị] thì", *BODY.split()[:-1], "khác"])]
+    assert _found(spark, texts) == {1, 4, 5}

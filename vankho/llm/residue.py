@@ -1,8 +1,11 @@
-"""Template residue and error-page text (problem 8): near-duplicate segments by SimHash tables, labels spread from trusted ones.
+"""Template residue and error-page text (problem 8): near-duplicate segments by shared shingles, labels spread from trusted ones.
 
 A text's lines are its segments; lines that differ only in digits and codes are one class. Trusted labels come from stated
-patterns. A label spreads from class to class along near-duplicates (SimHash within HAMMING bits, then five-word shingles at
-SIMILARITY) until no new class is reached, which labels exactly the connected components that hold a trusted class.
+patterns. A label spreads from class to class along near-duplicates (five-word shingles at SIMILARITY) until no new class is reached.
+What makes a line residue is its core: the shingles that touch the matched words. A line that is alike but for the core (a placeholder
+filled in, a text without the notice before it) is no residue, so a label passes only to lines that share a shingle of the core. A line
+that is reached from some others has a core shingle of theirs, and SIMILARITY of its shingles are among theirs: a pass over the texts
+for each round takes the lines with both, without loss, and only these are compared.
 """
 
 from __future__ import annotations
@@ -13,18 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vankho.llm import codepoints as C
 from vankho.llm.words import words
 from vankho.runtime import cut
 
-SHINGLE, SIMILARITY, HAMMING = 5, 0.8, 3
+SHINGLE, SIMILARITY = 5, 0.8
 #: Bytes of text that a task works on at once.
 SLICE = 2_000_000
-#: Blocks of 16 bits: two hashes within 3 bits share at least one.
-BLOCKS = 4
+#: Bits of a filter of shingles for each of them, and of the whole filter at most (its exponent).
+FILTER_BITS, LARGEST_FILTER = 64, 27
 
 #: Names of form fields in written-out placeholders.
 _FIELD = r"(?:Tên|Họ tên|Số tiền|Số hợp đồng|Số|Điền|Chèn|Nhập|Ghi|Địa chỉ|Chức vụ|ngày/tháng)"
@@ -83,12 +86,30 @@ _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
 _NOTICE = "|".join(f"(?:{p})" for p in [*NOTICES, rf"(?:\b(?:{'|'.join(MADE_UP)})\b[ .,]*){{4,}}"])
 
 
-def left_over(line: str) -> bool:
-    """True if a line has a placeholder that does not stand alone between quotation marks."""
+_NOTICE_PLACES = re.compile(_NOTICE, re.IGNORECASE)
+
+
+def _left_over(line: str) -> Iterator[re.Match]:
+    """Placeholders of a line that do not stand alone between quotation marks."""
     for m in _PLACEHOLDER.finditer(line):
         if not (re.search(_QUOTED + r"\s*$", line[: m.start()]) and re.match(r"\s*" + _QUOTED, line[m.end() :])):
-            return True
-    return False
+            yield m
+
+
+def left_over(line: str) -> bool:
+    """True if a line has a placeholder that does not stand alone between quotation marks."""
+    return next(_left_over(line), None) is not None
+
+
+def beside_residue(line: str) -> list[str]:
+    """Parts of a trusted line outside its placeholders and what notices match."""
+    spans = [m.span() for found in (_left_over(line), _NOTICE_PLACES.finditer(line)) for m in found]
+    parts, end = [], 0
+    for a, b in sorted(spans):
+        if a > end:
+            parts.append(line[end:a])
+        end = max(end, b)
+    return [*parts, line[end:]]
 
 
 def trusted(lines: pa.Array) -> np.ndarray:
@@ -138,7 +159,7 @@ def shingles(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def simhash(shingle: np.ndarray, segment: np.ndarray, segments: int) -> np.ndarray:
-    """64-bit SimHash of every segment: bits are counted in 16-bit lanes of 64-bit words, four bits at a time."""
+    """64-bit SimHash of every segment, which decides nothing in the query (no bound on bits is without loss): bits are counted in 16-bit lanes of 64-bit words, four bits at a time."""
     out = np.zeros(segments, np.uint64)
     if not len(shingle):
         return out
@@ -166,8 +187,8 @@ def simhash(shingle: np.ndarray, segment: np.ndarray, segments: int) -> np.ndarr
     return out
 
 
-def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class and SimHash of every line, and its shingles; words with a digit count as one and the same word."""
+def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every line, and its shingles; words with a digit count as one and the same word."""
     cp, starts = C.decode(lines)
     masked = cp.copy()
     digit = (cp >= 48) & (cp < 58)
@@ -185,7 +206,6 @@ def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     masked, starts = C.keep(masked, starts, ~drop)
     hashes, _, word_starts = words(masked, starts)
     shingle, segment = shingles(hashes, word_starts)
-    sim = simhash(shingle, segment, len(lines))
     # the class is all shingles in order; lines without words (rules, dots) have the class of their length
     key = np.zeros(len(lines), np.uint64)
     if len(hashes):
@@ -194,76 +214,142 @@ def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         mixed ^= mixed >> np.uint64(32)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
         key = sums[word_starts[1:]] - sums[word_starts[:-1]]
-    return key.view(np.int64), sim.view(np.int64), shingle, segment
+    return key.view(np.int64), shingle, segment
+
+
+def _lists(shingle: np.ndarray, segment: np.ndarray, segments: int) -> list[np.ndarray]:
+    """Different shingles of every segment."""
+    bounds = np.searchsorted(segment, np.arange(segments + 1))
+    return [np.unique(shingle[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def _cores(lines: list[str], own: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each trusted line's shingles, those that no part of it beside the residue has."""
+    parts = [beside_residue(line) for line in lines]
+    owner = np.repeat(np.arange(len(lines)), [len(p) for p in parts])
+    _, shingle, segment = _classes(pa.array([part for p in parts for part in p], pa.string()))
+    beside = _lists(shingle, owner[segment], len(lines))
+    return [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(own, beside)]
+
+
+def _array(lists: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.view(np.int64) for a in lists], pa.list_(pa.int64()))
 
 
 def segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, class, simhash, label) of every line with words; label: it is residue by the stated patterns."""
+    """(doc_id, class, label, shingles, core) of every line; label: it is residue by the stated patterns, and only then are there lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lines, doc = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
-            key, sim, _, _ = _classes(lines)
+            key, shingle, segment = _classes(lines)
             label = trusted(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key), pa.array(sim), pa.array(label)], names=["doc_id", "class", "simhash", "label"])
+            at = np.flatnonzero(label)
+            place = np.cumsum(label) - 1
+            kept = label[segment]
+            own = _lists(shingle[kept], place[segment[kept]], len(at))
+            cores = _cores(lines.take(pa.array(at)).to_pylist(), own) if len(at) else []
+            # null for the other lines
+            rows = pa.array(np.where(label, place, 0), mask=~label)
+            columns = [pa.array(doc, pa.int64()), pa.array(key), pa.array(label), _array(own).take(rows), _array(cores).take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "label", "shingles", "core"])
+
+    return _given(documents).mapInArrow(run, "doc_id bigint, class bigint, label boolean, shingles array<bigint>, core array<bigint>")
+
+
+def _given(documents: DataFrame) -> DataFrame:
+    return documents.where("text is not null and doc_id is not null").select("doc_id", "text")
+
+
+def _probes(shingle: np.ndarray, exponent: int) -> Iterator[np.ndarray]:
+    """The bits of every shingle in a filter of 2^exponent bits."""
+    for odd in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        mixed = (shingle ^ (shingle >> np.uint64(32))) * np.uint64(odd)
+        yield ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - exponent)
 
-    given = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
-    return given.mapInArrow(run, "doc_id bigint, class bigint, simhash bigint, label boolean")
 
+def shingle_filter(lists: DataFrame, name: str) -> tuple[np.ndarray, int]:
+    """(bytes, exponent) of a filter that lets all shingles of the column of lists pass and few others; the driver gets bits only."""
+    total = lists.select(F.sum(F.size(name))).first()[0] or 0
+    exponent = int(min(LARGEST_FILTER, max(10, np.ceil(np.log2(max(1, total) * FILTER_BITS)))))
 
-def class_shingles(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the wanted classes (class, doc_id), from one document that holds each."""
-    texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << exponent, bool)
+        for batch in batches:
+            for probe in _probes(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), exponent):
+                bits[probe] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    held = np.zeros(1 << (exponent - 3), np.uint8)
+    for row in lists.select(name).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        held |= np.frombuffer(row.bits, np.uint8)
+    return held, exponent
+
+
+def passes(shingle: np.ndarray, held: np.ndarray, exponent: int) -> np.ndarray:
+    """Which shingles pass the filter."""
+    out = np.ones(len(shingle), bool)
+    for probe in _probes(shingle, exponent):
+        out &= (held[probe >> np.uint64(3)] >> (probe & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def touched(documents: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(class, shingles, hits) of every class that may be reached from `frontier` by its shingles in all and those of the cores (hits)."""
+    filters = documents.sparkSession.sparkContext.broadcast([shingle_filter(frontier, name) for name in ("core", "shingles")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
-            key, _, shingle, segment = _classes(lines)
-            bounds = np.searchsorted(segment, np.arange(len(lines) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(shingle.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key), lists], names=["class", "shingles"])
-
-    found = texts.mapInArrow(run, "class bigint, shingles array<bigint>")
-    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
-
-
-def _tables(classes: DataFrame) -> DataFrame:
-    """One row per class and block of its SimHash."""
-    block = lambda b: F.shiftrightunsigned("simhash", 16 * b).bitwiseAND(F.lit(0xFFFF))
-    return classes.select("*", F.posexplode(F.array(*[block(b) for b in range(BLOCKS)])).alias("block", "bits"))
+            key, shingle, segment = _classes(lines)
+            hit = np.zeros(len(lines), bool)
+            core, whole = filters.value
+            inside = passes(shingle, *core)
+            hit[segment[inside]] = True
+            first = np.zeros(len(lines), bool)
+            first[np.unique(key, return_index=True)[1]] = True
+            hit &= first
+            kept = hit[segment]
+            place, n = np.cumsum(hit) - 1, int(hit.sum())
+            lists = _lists(shingle[kept], place[segment[kept]], n)
+            hits = _lists(shingle[kept & inside], place[segment[kept & inside]], n)
+            enough = [passes(a, *whole).sum() >= SIMILARITY * len(a) - 1e-9 for a in lists]
+            lists, hits = [[a for a, ok in zip(both, enough) if ok] for both in (lists, hits)]
+            hit[hit] = enough
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), _array(lists), _array(hits)], names=["class", "shingles", "hits"])
+
+    return _given(documents).mapInArrow(run, "class bigint, shingles array<bigint>, hits array<bigint>")
+
+
+def _similar(a: str, b: str) -> Column:
+    """The two lists of different shingles are near-duplicates."""
+    return F.size(F.array_intersect(a, b)) >= SIMILARITY * F.size(F.array_union(a, b)) - 1e-9
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
     """doc_id of each document with residue. Null, empty and blank texts and rows without doc_id are none; equal texts each give their row."""
     lines = cut(segments(documents))
-    every = cut(lines.groupBy("class", "simhash").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id")))
-    labelled = every.where("label").select("class", "simhash", "doc_id")
-    frontier, open_ = labelled, every.where("not label").select("class", "simhash", "doc_id")
+    frontier = cut(lines.where("label").select("class", "shingles", "core").dropDuplicates(["class"]))
+    labelled = frontier.select("class")
     while True:
-        near = (
-            _tables(open_)
-            .alias("o")
-            .join(_tables(frontier.select(F.col("class").alias("from"), F.col("simhash").alias("from_hash"), F.col("doc_id").alias("from_doc"), "simhash")).alias("f"), ["block", "bits"])
-            .where(F.bit_count(F.col("o.simhash").bitwiseXOR(F.col("from_hash"))) <= HAMMING)
-            .select("class", F.col("o.simhash").alias("simhash"), F.col("o.doc_id").alias("doc_id"), "from", "from_doc")
-            .distinct()
-        )
-        near = cut(near)
-        if near.isEmpty():
+        open_ = cut(touched(documents, frontier))
+        size = F.size("shingles").alias("size")
+        asked = open_.select("class", size, F.explode("hits").alias("shingle")).distinct()
+        given = frontier.select(F.col("class").alias("from"), F.size("shingles").alias("from_size"), F.explode("core").alias("shingle"))
+        alike = (F.col("size") >= SIMILARITY * F.col("from_size") - 1e-9) & (F.col("from_size") >= SIMILARITY * F.col("size") - 1e-9)
+        meet = cut(asked.join(given, "shingle").where(alike).select("class", "from").distinct().join(labelled, "class", "left_anti"))
+        if meet.isEmpty():
             break
-        wanted = near.select("class", "doc_id").unionAll(near.select("from", "from_doc")).distinct()
-        texts = class_shingles(documents, wanted)
-        mine = texts.select("class", F.col("shingles").alias("a"))
-        theirs = texts.select(F.col("class").alias("from"), F.col("shingles").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        verified = near.join(mine, "class").join(theirs, "from").where(common >= SIMILARITY * F.size(F.array_union("a", "b")))
-        frontier = cut(verified.groupBy("class").agg(F.first("simhash").alias("simhash"), F.first("doc_id").alias("doc_id")))
+        sources = frontier.select(F.col("class").alias("from"), F.col("shingles").alias("a"), F.col("core").alias("held"))
+        near = cut(open_.select("class", "shingles").join(meet.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
+        pairs = meet.join(sources, "from").join(near, "class").where(_similar("a", "shingles"))
+        found = pairs.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("held", "shingles")))).alias("core"))
+        frontier = cut(near.join(found, "class"))
         if frontier.isEmpty():
             break
-        labelled = labelled.unionByName(frontier)
-        open_ = open_.join(frontier.select("class"), "class", "left_anti")
-    return lines.join(labelled.select("class"), "class", "left_semi").select("doc_id").distinct()
+        labelled = cut(labelled.unionAll(frontier.select("class")))
+    return lines.join(labelled, "class", "left_semi").select("doc_id").distinct()
