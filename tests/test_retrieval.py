@@ -155,3 +155,14 @@ def test_roles(spark):
     assert one(spark, access.valid_roles, None, "array<string>") == ["Guest"]
     assert one(spark, lambda c: access.allowed(F.array(F.lit("Guest")), c), None, "array<string>") is False
     assert one(spark, lambda c: access.allowed(F.array(F.lit("Admin")), c), None, "array<string>") is True
+
+
+def test_order_of_chunks_does_not_wrap_at_a_million_rows(spark, tmp_path):
+    from vankho.plans.retrieval import c_next, h_resolve
+
+    ids = [999_999, 1_000_000, 1_999_999, 2_000_000]
+    rows = [(i, "d", str(i), "s", ("Điều 1", "Chương I" if i == ids[0] else None), None) for i in ids]
+    df = spark.createDataFrame(rows, "row_id bigint, document_id string, chunk_id string, source string, structure struct<article:string,chapter:string>, parent_id string")
+    df.write.parquet(str(tmp_path / "chunks.parquet"))
+    assert {tuple(r) for r in c_next(spark, str(tmp_path)).collect()} == set(zip(ids, ids[1:]))
+    assert {r.chapter for r in h_resolve(spark, str(tmp_path)).collect()} == {"Chương I"}

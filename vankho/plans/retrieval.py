@@ -70,9 +70,13 @@ def c_articles(spark: SparkSession, d: str) -> DataFrame:
 _PLACED = "(SELECT row_id, document_id, chunk_id, source, structure, parent_id, coalesce(try_cast(nullif(regexp_extract(structure.article, '([0-9]+)', 1), '') AS BIGINT), 0) * 1000000 + row_id % 1000000 AS place FROM chunks WHERE document_id IS NOT NULL)"
 
 
+#: More than any row_id, so that a place orders by article number, then row_id; the SQL above wraps at 1,000,000 rows and agrees below.
+ROWS = 1 << 36
+
+
 def _placed(spark: SparkSession, d: str) -> DataFrame:
     number = F.coalesce(F.regexp_extract("structure.article", "([0-9]+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
-    return table(spark, d, "chunks").where("document_id is not null").select("row_id", "document_id", "chunk_id", "source", "structure", "parent_id", (number * 1000000 + F.col("row_id") % 1000000).alias("place"))
+    return table(spark, d, "chunks").where("document_id is not null").select("row_id", "document_id", "chunk_id", "source", "structure", "parent_id", (number * ROWS + F.col("row_id")).alias("place"))
 
 
 @query(f"SELECT row_id AS src, nxt AS dst FROM (SELECT row_id, lead(row_id) OVER (PARTITION BY document_id ORDER BY place) AS nxt FROM {_PLACED}) WHERE nxt IS NOT NULL")
