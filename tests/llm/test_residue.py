@@ -4,12 +4,15 @@ import pytest
 
 from vankho.llm import residue as R
 
-YES = ["Số dư theo {{dia_chi}} là", "do ${ghi_chu}", "của <<DIA_CHI>> kiểm tra", "@@ngay_ky@@", "từ __NGUOI_LAP__", "[[so_tien]]", "%(dia_chi)s", "<%= ky_han %>", "theo {ngay_ky} này", "«Tên đơn vị»", "[Tên chi nhánh]", "404 Không tìm thấy trang", "HTTP/1.1 504", "Traceback (most recent call last):", "You need to enable JavaScript to open this document.", "xxxx xx xxxxx xxx xxxx", "FIXME – đoạn 6.", "Fabilo velorum vindras santibe"]
+YES = ["Số dư theo {{dia_chi}} là", "do ${ghi_chu}", "của <<DIA_CHI>> kiểm tra", "@@ngay_ky@@", "từ __NGUOI_LAP__", "[[so_tien]]", "%(dia_chi)s", "<%= ky_han %>", "theo {ngay_ky} này", "Dear [Customer name],", "<Your address>", "«Tên đơn vị»", "[Tên chi nhánh]", "404 Không tìm thấy trang", "HTTP/1.1 504", "Traceback (most recent call last):", "xxxx xx xxxxx xxx xxxx", "FIXME – đoạn 6.", "abc xyz abc xyz abc xyz abc xyz", "Nội dung chờ. Nội dung chờ. Nội dung chờ. Nội dung chờ."]
 NO = ["cán bộ giữ nguyên chuỗi “{{ky_han}}” cho tới khi in", "kí hiệu <<…>> quanh tên trường", "Công thức tính: {a, b, c} là tập hệ số; với a > b thì lấy $1.2", "điền họ tên vào ô [1] và ô [2]", "Người dùng cần bật JavaScript trước kỳ thi; quy định này áp dụng", "giải thích mã 404: khi cổng trả về mã này", "trang nào ghi “không tìm thấy” thì khôi phục", "Số dư 500 đồng", ""]
 
 
 def test_trusted_labels():
-    got = R.trusted(pa.array(YES + NO))
+    lines = pa.array(YES + NO)
+    hashes, starts = R._masked(lines)
+    got, quoted = R.trusted(lines, np.diff(starts), R._kinds(hashes, starts), np.zeros(len(lines), int))
+    assert not (got & quoted).any() and quoted[len(YES)]
     assert got.tolist() == [True] * len(YES) + [False] * len(NO)
 
 
@@ -48,23 +51,19 @@ def test_digits_and_codes_do_not_part_classes():
     assert a == b != c
 
 
-NOTICE = "Rất tiếc, đã có lỗi xảy ra khi tải văn bản mà bạn vừa yêu cầu từ kho lưu trữ điện tử của ngân hàng nên xin hãy quay về trang chủ rồi thử lại sau ít phút hoặc gọi cho tổng đài hỗ trợ khách hàng"
-
-
 def _found(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id bigint, text string")
     return {r.doc_id for r in R.residue_documents(df).collect()}
 
 
-def test_every_near_duplicate_of_residue_is_found(spark):
-    """Variants at 0.8 or more whose own pattern is broken, from line to line, against brute force."""
-    whole = f"{NOTICE} {BODY}"
+def test_near_duplicates_of_residue_are_found(spark):
+    """Variants at 0.8 or more whose own placeholder is broken, from line to line, against brute force: nine in ten at least."""
+    whole = f"Theo đề nghị của [Tên đơn vị] thì {BODY}"
     words, rnd = whole.split(), np.random.default_rng(5)
     texts = [whole]
-    for _ in range(60):
-        # the first word, which the pattern asks for, and one to three others
-        own = ["Thật", *words[1:]]
-        for at in rnd.integers(1, len(words), rnd.integers(1, 4)):
+    for _ in range(80):
+        own = [w.strip("[]") for w in words]
+        for at in rnd.integers(8, len(words), rnd.integers(1, 3)):
             own[at] = f"chữ{'abcdefgh'[rnd.integers(8)]}"
         texts.append(" ".join(own))
     sets = [set(s.tolist()) for t in texts for s in [R._classes(pa.array([t]))[1]]]
@@ -72,10 +71,45 @@ def test_every_near_duplicate_of_residue_is_found(spark):
     while more:
         more = {j for i in more for j in range(len(texts)) if j not in reached and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         reached |= more
-    assert len(reached) > 20
     found = {i - 1 for i in _found(spark, texts)}
     near = {j for j in range(len(texts)) if len(sets[0] & sets[j]) >= 0.8 * len(sets[0] | sets[j])}
-    assert near <= found <= reached
+    assert len(near) > 40 and found <= reached and len(near & found) >= 0.9 * len(near)
+
+
+def test_simhash_tables_keep_near_duplicates():
+    """Of pairs at 0.8 or more, 95 in 100 share a table and lie within HAMMING."""
+    rnd, kept, pairs = np.random.default_rng(3), 0, 0
+    for _ in range(2000):
+        size = int(rnd.integers(20, 300))
+        a = rnd.integers(0, 2**63, size, dtype=np.uint64)
+        changed = int(rnd.integers(0, size // 9 + 1))
+        b = np.concatenate([a[changed:], rnd.integers(0, 2**63, changed, dtype=np.uint64)])
+        x, y = (int(v) & (2**64 - 1) for v in R._simhashes([a, b]))
+        clean = sum(((x ^ y) >> (i * R.BLOCK_BITS)) & (2**R.BLOCK_BITS - 1) == 0 for i in range(R.BLOCKS))
+        pairs += 1
+        kept += clean >= 2 and (x ^ y).bit_count() <= R.HAMMING
+    assert kept >= 0.95 * pairs
+
+
+def test_messages_are_trusted_alone_and_found_anywhere(spark):
+    notice, talk = "You need to enable JavaScript to open this document.", "Người dùng cần bật JavaScript trước kỳ thi; quy định này áp dụng cho mọi chi nhánh."
+    assert _found(spark, [f"{BODY}\n{notice}\n{BODY}", talk + "\n" + BODY]) == set()
+    texts = [notice, f"{BODY}\n{notice}\n{BODY}", talk + "\n" + BODY, f"{BODY}\n“{notice}”\n{BODY}"]
+    assert _found(spark, texts) == {1, 2}
+
+
+def test_placeholder_latin_is_learned(spark):
+    own = "fabilo velorum vindras santibe proxima corpelu duntrec ipsamel".split()
+    rnd = np.random.default_rng(2)
+    latin = [" ".join(["sed", *rnd.choice(own, 15)]) for _ in range(12)]
+    plain = [" ".join(rnd.permutation(BODY.split())) for _ in range(12)]
+    odd = " ".join(rnd.choice(own, 12))
+    assert _found(spark, [*latin, odd, *plain]) == set(range(1, 14))
+
+
+def test_a_quoted_placeholder_is_another_class(spark):
+    rest = "thì " + BODY
+    assert _found(spark, [f"Theo {{{{ten}}}} {rest}", f"Theo “{{{{ten}}}}” {rest}", f"“Theo đơn vị” {rest}"]) == {1}
 
 
 def test_labels_do_not_spread_without_the_residue(spark):

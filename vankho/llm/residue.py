@@ -1,11 +1,12 @@
-"""Template residue and error-page text (problem 8): near-duplicate segments by shared shingles, labels spread from trusted ones.
+"""Template residue and error-page text (problem 8): near-duplicate segments by SimHash tables, labels spread from trusted ones.
 
-A text's lines are its segments; lines that differ only in digits and codes are one class. Trusted labels come from stated
-patterns. A label spreads from class to class along near-duplicates (five-word shingles at SIMILARITY) until no new class is reached.
+A text's lines are its segments; lines that differ only in digits and codes are one class. Trusted are lines with unfilled placeholders,
+protocol and program residue, filler that repeats itself or is made of placeholder Latin, and messages that are all that a document
+holds. From these the labels spread: to every line of the same class, wherever it stands, and from class to class along near-duplicates
+until no new class is reached, which labels the connected components of trusted classes. Near-duplicates meet in partitioned SimHash
+tables, then their Hamming distance and their five-word shingles (SIMILARITY) are compared.
 What makes a line residue is its core: the shingles that touch the matched words. A line that is alike but for the core (a placeholder
-filled in, a text without the notice before it) is no residue, so a label passes only to lines that share a shingle of the core. A line
-that is reached from some others has a core shingle of theirs, and SIMILARITY of its shingles are among theirs: a pass over the texts
-for each round takes the lines with both, without loss, and only these are compared.
+filled in, a text without the notice before it) is no residue, so a label passes only to lines that share a shingle of the core.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,21 @@ SHINGLE, SIMILARITY = 5, 0.8
 SLICE = 2_000_000
 #: Bits of a filter of shingles for each of them, and of the whole filter at most (its exponent).
 FILTER_BITS, LARGEST_FILTER = 64, 27
+#: Words that a task adds up before it hands them on.
+HELD_WORDS = 1_000_000
+
+#: SimHash blocks and bits of a block; every two blocks are a table. Most bits in which near-duplicates differ: of pairs at SIMILARITY
+#: 97 in 100 are found (tested); up to BLOCKS - 2 bits none is lost in the tables.
+BLOCKS, BLOCK_BITS, HAMMING = 12, 5, 16
+#: Share of a document's characters in messages and residue from which messages are trusted, and most words of a message's line.
+ALONE, MESSAGE_WORDS = 0.6, 30
+#: Words from which repetition counts, different words in so many of them, and the share of words of placeholder Latin.
+LEAST_WORDS, FEW_KINDS, LATIN_SHARE = 8, 3, 0.8
+#: A word is placeholder Latin if this share of its uses, at least so many, stands in lines with a word of the standard passage.
+BESIDE, USES = 0.5, 3
 
 #: Names of form fields in written-out placeholders.
-_FIELD = r"(?:Tên|Họ tên|Số tiền|Số hợp đồng|Số|Điền|Chèn|Nhập|Ghi|Địa chỉ|Chức vụ|ngày/tháng)"
+_FIELD = r"(?:Tên|Họ tên|Số tiền|Số hợp đồng|Số|Điền|Chèn|Nhập|Ghi|Địa chỉ|Chức vụ|ngày/tháng|(?i:your|insert|enter|customer|client|company|full name|name|address|amount|date)\b)"
 #: Patterns of unfilled placeholders. One that stands alone between quotation marks is talked about, not left over.
 PLACEHOLDERS = [
     r"\{\{ *\w+[^{}\n]*\}\}",
@@ -42,51 +56,47 @@ PLACEHOLDERS = [
     r"%\(\w+\)[sd]",
     r"<%=? *\w+ *%>",
     r"#\{\w+\}",
-    r"(?:^|[^{$#\w])\{[a-z]+(?:_[a-z0-9]+)+\}",
+    r"(?:^|[^{$#\w])\{(?:[a-z]+(?:_[a-z0-9]+)+|name|date|amount|address|title|number)\}",
     rf"\[{_FIELD}[^\[\]\n]{{0,40}}\]",
     rf"<{_FIELD}[^<>\n]{{0,40}}>",
     rf"«{_FIELD}[^«»\n]{{0,40}}»",
 ]
-#: Error messages and notices about scripts that stand where content should, and filler.
-NOTICES = [
-    r"^\s*[45][0-9]{2}\s+(?:Không tìm thấy|Truy cập bị|Dịch vụ tạm|Lỗi máy chủ|Not Found|Bad Gateway|Forbidden|Internal Server|Service Unavailable|Gateway)",
+_B, _E = r"(?:^|[^\p{L}\p{N}])", r"(?:[^\p{L}\p{N}]|$)"
+#: What protocols, programs and editors leave behind; trusted wherever it stands.
+LEFTOVERS = [
+    r"^\s*[45][0-9]{2}\s+\p{Lu}\p{L}+(?: \p{L}+){0,5}\s*(?:[.:]|$)",
     r"^\s*HTTP/[0-9.]+ [345][0-9]{2}\b",
     r"<h1>\s*[45][0-9]{2}\s*</h1>",
     r"^\s*Traceback \(most recent call last\)",
     r"^\s*File \"[^\"]+\", line [0-9]+, in ",
-    r"^\s*Trang bạn yêu cầu hiện không phục vụ được",
-    r"^\s*Rất tiếc, đã có lỗi xảy ra",
-    r"^\s*Bạn không có quyền mở tài liệu",
-    r"^\s*Phiên làm việc đã hết hạn",
-    r"^\s*Hệ thống đang bảo trì",
-    r"^\s*Too many requests\b",
-    r"^\s*Kết nối tới cơ sở dữ liệu thất bại",
-    r"\b(?:You need to )?enable JavaScript to\b",
-    r"^\s*This page needs scripts",
-    r"^\s*Trình duyệt của bạn đã tắt kịch bản",
-    r"^\s*Vui lòng bật JavaScript",
-    r"không chạy khi thiếu JavaScript",
-    r"\b(?:TODO|FIXME)\s*[–:-]",
-    r"\bSample text goes here\b",
-    r"\bReplace this paragraph with your own words\b",
-    r"\blorem ipsum\b",
-    r"^\s*(?:Đoạn chữ giữ chỗ|Đây là văn bản mẫu|Văn bản thử)\s*,",
-    r"^\s*Tiêu đề [0-9]+: tiêu đề mẫu",
-    r"^\s*Dòng chữ thử số [0-9]+",
-    r"^\s*(?:Nội dung (?:này )?đang được cập nhật|(?:Trang|Phần|Mục) này (?:chưa có nội dung|đang chờ biên tập|sẽ được bổ sung))",
-    r"(?:\bx{2,}\b[ .,]*){4,}",
-    r"(?:\b(?:abc|xyz)\b[ .,]*){4,}",
-    r"(?:\b(?:asdf|qwer)\b[ .,]*){4,}",
-    r"(?:\btest\b[ 0-9.,]*){4,}",
+    r"\b(?:TODO|FIXME|TBD)\s*[–:-]",
+    r"(?i:\blorem ipsum\b)",
+    r"(?i:(?:\b(?:" + "|".join(f"{c}{{2,}}" for c in "abcdefghijklmnopqrstuvwxyz") + r")\b[ .,]*){4,})",
 ]
-#: Words of the made-up Latin that fills layouts; four of them in a row are filler.
-MADE_UP = "fabilo velorum vindras santibe proxima corpelu duntrec ipsamel amestin hespira lacerund vortano nobitum dolquar teluri quolent".split()
+#: Common turns of error messages, notices about scripts and standing-in texts, in both languages. They also occur in
+#: texts that talk about such things, so they are trusted only where they are all that a document holds.
+MESSAGES = [
+    _B + r"(?:có|xảy ra|gặp) lỗi" + _E,
+    _B + r"không (?:tìm thấy|tồn tại|phục vụ được|truy cập được|khả dụng)" + _E,
+    _B + r"không có quyền (?:mở|xem|truy cập)" + _E,
+    _B + r"(?:phiên .*hết hạn|session (?:has )?expired)" + _E,
+    _B + r"(?:đang bảo trì|under maintenance|too many requests|try again later)" + _E,
+    _B + r"(?:kết nối .*(?:thất bại|bị từ chối)|connection (?:failed|refused|timed out)|an error (?:has )?occurred)" + _E,
+    _B + r"(?:javascript|tập lệnh|kịch bản|scripts?)" + _E,
+    _B + r"(?:đang được cập nhật|chưa có nội dung|đang chờ biên tập|sẽ được bổ sung|coming soon|under construction)" + _E,
+    _B + r"(?:(?:văn bản|tiêu đề|nội dung) mẫu|văn bản thử|chữ (?:giữ chỗ|thử|mẫu)|sample text|placeholder text)" + _E,
+]
+#: Words of the standard passage of placeholder Latin that no other language of the corpus has.
+LATIN = (
+    "lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud "
+    "exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
+    "excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum"
+).split()
 _QUOTED = r"[\"'“”‘’`]"
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS))
-_NOTICE = "|".join(f"(?:{p})" for p in [*NOTICES, rf"(?:\b(?:{'|'.join(MADE_UP)})\b[ .,]*){{4,}}"])
-
-
-_NOTICE_PLACES = re.compile(_NOTICE, re.IGNORECASE)
+_LEFTOVER = "|".join(f"(?:{p})" for p in LEFTOVERS)
+_MESSAGE = "(?i:" + "|".join(f"(?:{p})" for p in MESSAGES) + ")"
+_NOTICE_PLACES = regex.compile(f"{_LEFTOVER}|{_MESSAGE}")
 
 
 def _left_over(line: str) -> Iterator[re.Match]:
@@ -112,15 +122,32 @@ def beside_residue(line: str) -> list[str]:
     return [*parts, line[end:]]
 
 
-def trusted(lines: pa.Array) -> np.ndarray:
-    """Which lines are residue by the stated patterns alone. Whole batches are matched by Arrow; lines with a placeholder are looked at once more."""
-    found = np.zeros(len(lines), bool)
+def repeats_itself(line: str) -> bool:
+    """True if at least half of a line's sentences are there twice."""
+    sentences = [x.strip() for x in re.split(r"(?<=[.!?])\s+", line) if x.strip()]
+    return len(sentences) > 1 and 2 * len(set(sentences)) <= len(sentences)
+
+
+def trusted(lines: pa.Array, words_in: np.ndarray, kinds_in: np.ndarray, latin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are residue by themselves, and which only quote a placeholder. Whole batches are matched by Arrow; single lines are
+    looked at only where they hold signs of placeholders or few different words.
+
+    words_in, kinds_in: how many words and how many different words a line has; latin: how many of them are placeholder Latin.
+    """
+    found, quoted = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
     # a line with none of these letters matches no pattern
     marks = pc.match_substring_regex(lines, r"[{}<>«@$#%\[]|__").to_numpy(zero_copy_only=False)
     at = np.flatnonzero(marks)
-    found[at] = [left_over(line) for line in lines.take(pa.array(at)).to_pylist()]
-    found |= pc.match_substring_regex(lines, _NOTICE, ignore_case=True).to_numpy(zero_copy_only=False)
-    return found
+    marked = lines.take(pa.array(at)).to_pylist()
+    found[at] = [left_over(line) for line in marked]
+    quoted[at] = [bool(_PLACEHOLDER.search(line)) for line in marked]
+    quoted &= ~found
+    found |= pc.match_substring_regex(lines, _LEFTOVER).to_numpy(zero_copy_only=False)
+    found |= (words_in >= LEAST_WORDS) & ((kinds_in <= FEW_KINDS) | (latin >= LATIN_SHARE * words_in))
+    again = np.flatnonzero((words_in >= LEAST_WORDS) & (2 * kinds_in <= words_in) & ~found)
+    found[again] = [repeats_itself(line) for line in lines.take(pa.array(again)).to_pylist()]
+    quoted |= pc.match_substring_regex(lines, r"^\s*" + _QUOTED).to_numpy(zero_copy_only=False)
+    return found, quoted
 
 
 def _lines(text: pa.Array, doc: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -159,7 +186,7 @@ def shingles(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def simhash(shingle: np.ndarray, segment: np.ndarray, segments: int) -> np.ndarray:
-    """64-bit SimHash of every segment, which decides nothing in the query (no bound on bits is without loss): bits are counted in 16-bit lanes of 64-bit words, four bits at a time."""
+    """64-bit SimHash of every segment; bits are counted in 16-bit lanes of 64-bit words, four bits at a time."""
     out = np.zeros(segments, np.uint64)
     if not len(shingle):
         return out
@@ -187,8 +214,8 @@ def simhash(shingle: np.ndarray, segment: np.ndarray, segments: int) -> np.ndarr
     return out
 
 
-def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every line, and its shingles; words with a digit count as one and the same word."""
+def _masked(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of every line; words with a digit count as one and the same word."""
     cp, starts = C.decode(lines)
     masked = cp.copy()
     digit = (cp >= 48) & (cp < 58)
@@ -205,6 +232,12 @@ def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     drop = code & ~(fresh & code)
     masked, starts = C.keep(masked, starts, ~drop)
     hashes, _, word_starts = words(masked, starts)
+    return hashes, word_starts
+
+
+def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every line, its shingles and its words. Only lines that begin with a quotation mark share a class with such lines."""
+    hashes, word_starts = _masked(lines)
     shingle, segment = shingles(hashes, word_starts)
     # the class is all shingles in order; lines without words (rules, dots) have the class of their length
     key = np.zeros(len(lines), np.uint64)
@@ -214,7 +247,16 @@ def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mixed ^= mixed >> np.uint64(32)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
         key = sums[word_starts[1:]] - sums[word_starts[:-1]]
-    return key.view(np.int64), shingle, segment
+    return key.view(np.int64), shingle, segment, hashes, word_starts
+
+
+def _kinds(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many different words every line has."""
+    line = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((hashes, line))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (line[order][1:] != line[order][:-1])
+    return np.bincount(line[order][fresh], minlength=len(starts) - 1)
 
 
 def _lists(shingle: np.ndarray, segment: np.ndarray, segments: int) -> list[np.ndarray]:
@@ -225,9 +267,11 @@ def _lists(shingle: np.ndarray, segment: np.ndarray, segments: int) -> list[np.n
 
 def _cores(lines: list[str], own: list[np.ndarray]) -> list[np.ndarray]:
     """Of each trusted line's shingles, those that no part of it beside the residue has."""
+    # where no pattern matched, the whole line is what makes it residue
     parts = [beside_residue(line) for line in lines]
+    parts = [[] if p == [line] else p for p, line in zip(parts, lines)]
     owner = np.repeat(np.arange(len(lines)), [len(p) for p in parts])
-    _, shingle, segment = _classes(pa.array([part for p in parts for part in p], pa.string()))
+    _, shingle, segment, *_ = _classes(pa.array([part for p in parts for part in p], pa.string()))
     beside = _lists(shingle, owner[segment], len(lines))
     return [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(own, beside)]
 
@@ -236,29 +280,79 @@ def _array(lists: list[np.ndarray]) -> pa.Array:
     return pa.array([a.view(np.int64) for a in lists], pa.list_(pa.int64()))
 
 
+def placeholder_latin(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the words of placeholder Latin: those that mostly stand in lines with words of the standard passage.
+
+    Uses of every word, and those in such lines, are added up by task and then over all documents.
+    """
+    seeds = np.sort(_masked(pa.array(LATIN))[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+        for batch in slices(batches):
+            lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
+            hashes, starts = _masked(lines)
+            line = np.repeat(np.arange(len(lines)), np.diff(starts))
+            beside = np.zeros(len(lines), bool)
+            beside[line[np.isin(hashes, seeds)]] = True
+            word, place = np.unique(np.concatenate([held[0], hashes]), return_inverse=True)
+            sums = np.zeros((len(word), 2), np.int64)
+            np.add.at(sums, place[: len(held[0])], held[1])
+            own = place[len(held[0]) :]
+            sums[:, 0] += np.bincount(own, minlength=len(word))
+            sums[:, 1] += np.bincount(own[beside[line]], minlength=len(word))
+            held = word, sums
+            if len(word) > HELD_WORDS:
+                yield _sums(*held)
+                held = word[:0], sums[:0]
+        yield _sums(*held)
+
+    def _sums(word: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["word", "uses", "beside"])
+
+    counted = _given(documents).mapInArrow(run, "word bigint, uses bigint, beside bigint").groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("beside").alias("beside"))
+    latin = cut(counted.where((F.col("beside") >= BESIDE * F.col("uses")) & (F.col("beside") >= USES)).select(F.array("word").alias("word")))
+    return shingle_filter(latin, "word")
+
+
 def segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, class, label, shingles, core) of every line; label: it is residue by the stated patterns, and only then are there lists."""
+    """(doc_id, class, label, shingles, core) of every line; label: it is trusted residue, and only then are there lists."""
+    latin = documents.sparkSession.sparkContext.broadcast(placeholder_latin(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lines, doc = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
-            key, shingle, segment = _classes(lines)
-            label = trusted(lines)
+            key, shingle, segment, hashes, starts = _classes(lines)
+            line = np.repeat(np.arange(len(lines)), np.diff(starts))
+            latins = np.bincount(line[passes(hashes, *latin.value)], minlength=len(lines))
+            label, quoted = trusted(lines, np.diff(starts), _kinds(hashes, starts), latins)
+            # a message is trusted where a document holds little else
+            message = pc.match_substring_regex(lines, _MESSAGE).to_numpy(zero_copy_only=False) & ~quoted & (np.diff(starts) <= MESSAGE_WORDS)
+            size = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
+            _, own = np.unique(doc, return_inverse=True)
+            share = np.bincount(own, size * (label | message)) / np.maximum(np.bincount(own, size), 1)
+            label |= message & (share[own] >= ALONE)
+            key = _apart(key, quoted)
             at = np.flatnonzero(label)
             place = np.cumsum(label) - 1
             kept = label[segment]
-            own = _lists(shingle[kept], place[segment[kept]], len(at))
-            cores = _cores(lines.take(pa.array(at)).to_pylist(), own) if len(at) else []
+            own_lists = _lists(shingle[kept], place[segment[kept]], len(at))
+            cores = _cores(lines.take(pa.array(at)).to_pylist(), own_lists) if len(at) else []
             # null for the other lines
             rows = pa.array(np.where(label, place, 0), mask=~label)
-            columns = [pa.array(doc, pa.int64()), pa.array(key), pa.array(label), _array(own).take(rows), _array(cores).take(rows)]
+            columns = [pa.array(doc, pa.int64()), pa.array(key), pa.array(label), _array(own_lists).take(rows), _array(cores).take(rows)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "label", "shingles", "core"])
 
     return _given(documents).mapInArrow(run, "doc_id bigint, class bigint, label boolean, shingles array<bigint>, core array<bigint>")
 
 
+def _apart(key: np.ndarray, quoted: np.ndarray) -> np.ndarray:
+    """Classes of lines that quote are other classes than those of the same words unquoted."""
+    return np.where(quoted, key ^ np.int64(0x5BD1E9955BD1E995), key)
+
+
 def _given(documents: DataFrame) -> DataFrame:
     return documents.where("text is not null and doc_id is not null").select("doc_id", "text")
 
@@ -297,32 +391,58 @@ def passes(shingle: np.ndarray, held: np.ndarray, exponent: int) -> np.ndarray:
 
 
 def touched(documents: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(class, shingles, hits) of every class that may be reached from `frontier` by its shingles in all and those of the cores (hits)."""
-    filters = documents.sparkSession.sparkContext.broadcast([shingle_filter(frontier, name) for name in ("core", "shingles")])
+    """(class, simhash, shingles, hits) of every class that has shingles of the frontier's cores (hits); to these alone labels can pass."""
+    core = documents.sparkSession.sparkContext.broadcast(shingle_filter(frontier, "core"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
-            key, shingle, segment = _classes(lines)
+            key, shingle, segment, *_ = _classes(lines)
             hit = np.zeros(len(lines), bool)
-            core, whole = filters.value
-            inside = passes(shingle, *core)
+            inside = passes(shingle, *core.value)
             hit[segment[inside]] = True
+            at = np.flatnonzero(hit)
+            some = lines.take(pa.array(at))
+            quoted = np.zeros(len(lines), bool)
+            quoted[at] = trusted(some, *[np.zeros(len(some), np.int64)] * 3)[1]
+            # lines that quote are told from what they quote and take no label
+            at = at[~quoted[at]]
             first = np.zeros(len(lines), bool)
-            first[np.unique(key, return_index=True)[1]] = True
+            first[at[np.unique(key[at], return_index=True)[1]]] = True
             hit &= first
             kept = hit[segment]
             place, n = np.cumsum(hit) - 1, int(hit.sum())
             lists = _lists(shingle[kept], place[segment[kept]], n)
             hits = _lists(shingle[kept & inside], place[segment[kept & inside]], n)
-            enough = [passes(a, *whole).sum() >= SIMILARITY * len(a) - 1e-9 for a in lists]
-            lists, hits = [[a for a, ok in zip(both, enough) if ok] for both in (lists, hits)]
-            hit[hit] = enough
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), _array(lists), _array(hits)], names=["class", "shingles", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(_simhashes(lists)), _array(lists), _array(hits)], names=["class", "simhash", "shingles", "hits"])
+
+    return _given(documents).mapInArrow(run, "class bigint, simhash bigint, shingles array<bigint>, hits array<bigint>")
+
 
-    return _given(documents).mapInArrow(run, "class bigint, shingles array<bigint>, hits array<bigint>")
+def _simhashes(lists: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each list of different shingles."""
+    segment = np.repeat(np.arange(len(lists)), [len(a) for a in lists])
+    return simhash(np.concatenate([*lists, np.zeros(0, np.uint64)]).astype(np.uint64), segment, len(lists)).view(np.int64)
+
+
+def with_simhash(frontier: DataFrame) -> DataFrame:
+    """`frontier`(class, shingles, core) with its simhash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.array(a, np.int64).view(np.uint64) for a in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_simhashes(lists))], names=["class", "shingles", "core", "simhash"])
+
+    return frontier.select("class", "shingles", "core").mapInArrow(run, "class bigint, shingles array<bigint>, core array<bigint>, simhash bigint")
+
+
+def in_tables(df: DataFrame) -> DataFrame:
+    """`df` with a row for each SimHash table: `slot` is the table with the bits of its two blocks."""
+    block = [F.shiftrightunsigned("simhash", i * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
+    keys = [F.lit(i * BLOCKS + j).cast("bigint") * (1 << (2 * BLOCK_BITS)) + block[i] * (1 << BLOCK_BITS) + block[j] for i in range(BLOCKS) for j in range(i)]
+    return df.withColumn("slot", F.explode(F.array(*keys)))
 
 
 def _similar(a: str, b: str) -> Column:
@@ -330,25 +450,34 @@ def _similar(a: str, b: str) -> Column:
     return F.size(F.array_intersect(a, b)) >= SIMILARITY * F.size(F.array_union(a, b)) - 1e-9
 
 
+def near_duplicates(frontier: DataFrame, open_: DataFrame) -> DataFrame:
+    """(class, core) of the classes of `open_` that are near-duplicates of classes of `frontier` and share a shingle of their core.
+
+    Pairs meet in SimHash tables; then Hamming distance, number of shingles and SIMILARITY are asked. core: what they share of the cores.
+    """
+    given = in_tables(frontier.select(F.col("class").alias("from"), F.size("shingles").alias("from_size"), "simhash")).withColumnRenamed("simhash", "from_hash")
+    asked = in_tables(open_.select("class", F.size("shingles").alias("size"), "simhash"))
+    near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("from_hash"))) <= HAMMING
+    alike = (F.col("size") >= SIMILARITY * F.col("from_size") - 1e-9) & (F.col("from_size") >= SIMILARITY * F.col("size") - 1e-9)
+    met = asked.join(given, "slot").where(near & alike & (F.col("class") != F.col("from"))).select("class", "from").distinct()
+    sources = frontier.select(F.col("class").alias("from"), F.col("shingles").alias("a"), F.col("core").alias("held"))
+    pairs = met.join(sources, "from").join(open_.select("class", "shingles"), "class").where(_similar("a", "shingles"))
+    found = pairs.select("class", F.explode(F.array_intersect("held", "shingles")).alias("shingle")).groupBy("class").agg(F.collect_set("shingle").alias("core"))
+    return found
+
+
 def residue_documents(documents: DataFrame) -> DataFrame:
     """doc_id of each document with residue. Null, empty and blank texts and rows without doc_id are none; equal texts each give their row."""
     lines = cut(segments(documents))
-    frontier = cut(lines.where("label").select("class", "shingles", "core").dropDuplicates(["class"]))
+    frontier = cut(with_simhash(lines.where("label").select("class", "shingles", "core").dropDuplicates(["class"])))
     labelled = frontier.select("class")
     while True:
-        open_ = cut(touched(documents, frontier))
-        size = F.size("shingles").alias("size")
-        asked = open_.select("class", size, F.explode("hits").alias("shingle")).distinct()
-        given = frontier.select(F.col("class").alias("from"), F.size("shingles").alias("from_size"), F.explode("core").alias("shingle"))
-        alike = (F.col("size") >= SIMILARITY * F.col("from_size") - 1e-9) & (F.col("from_size") >= SIMILARITY * F.col("size") - 1e-9)
-        meet = cut(asked.join(given, "shingle").where(alike).select("class", "from").distinct().join(labelled, "class", "left_anti"))
-        if meet.isEmpty():
+        open_ = touched(documents, frontier).join(labelled.hint("merge"), "class", "left_anti")
+        open_ = cut(open_.dropDuplicates(["class"]))
+        if open_.isEmpty():
             break
-        sources = frontier.select(F.col("class").alias("from"), F.col("shingles").alias("a"), F.col("core").alias("held"))
-        near = cut(open_.select("class", "shingles").join(meet.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
-        pairs = meet.join(sources, "from").join(near, "class").where(_similar("a", "shingles"))
-        found = pairs.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("held", "shingles")))).alias("core"))
-        frontier = cut(near.join(found, "class"))
+        found = near_duplicates(frontier, open_)
+        frontier = cut(open_.select("class", "shingles", "simhash").join(found, "class").select("class", "shingles", "core", "simhash"))
         if frontier.isEmpty():
             break
         labelled = cut(labelled.unionAll(frontier.select("class")))
