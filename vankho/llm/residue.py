@@ -61,7 +61,6 @@ PLACEHOLDERS = [
     rf"<{_FIELD}[^<>\n]{{0,40}}>",
     rf"«{_FIELD}[^«»\n]{{0,40}}»",
 ]
-_B, _E = r"(?:^|[^\p{L}\p{N}])", r"(?:[^\p{L}\p{N}]|$)"
 #: What protocols, programs and editors leave behind; trusted wherever it stands.
 LEFTOVERS = [
     r"^\s*[45][0-9]{2}\s+\p{Lu}\p{L}+(?: \p{L}+){0,5}\s*(?:[.:]|$)",
@@ -76,15 +75,15 @@ LEFTOVERS = [
 #: Common turns of error messages, notices about scripts and standing-in texts, in both languages. They also occur in
 #: texts that talk about such things, so they are trusted only where they are all that a document holds.
 MESSAGES = [
-    _B + r"(?:có|xảy ra|gặp) lỗi" + _E,
-    _B + r"không (?:tìm thấy|tồn tại|phục vụ được|truy cập được|khả dụng)" + _E,
-    _B + r"không có quyền (?:mở|xem|truy cập)" + _E,
-    _B + r"(?:phiên .*hết hạn|session (?:has )?expired)" + _E,
-    _B + r"(?:đang bảo trì|under maintenance|too many requests|try again later)" + _E,
-    _B + r"(?:kết nối .*(?:thất bại|bị từ chối)|connection (?:failed|refused|timed out)|an error (?:has )?occurred)" + _E,
-    _B + r"(?:javascript|tập lệnh|kịch bản|scripts?)" + _E,
-    _B + r"(?:đang được cập nhật|chưa có nội dung|đang chờ biên tập|sẽ được bổ sung|coming soon|under construction)" + _E,
-    _B + r"(?:(?:văn bản|tiêu đề|nội dung) mẫu|văn bản thử|chữ (?:giữ chỗ|thử|mẫu)|sample text|placeholder text)" + _E,
+    r"(?:có|xảy ra|gặp) lỗi",
+    r"không (?:tìm thấy|tồn tại|phục vụ được|truy cập được|khả dụng)",
+    r"không có quyền (?:mở|xem|truy cập)",
+    r"(?:phiên .*hết hạn|session (?:has )?expired)",
+    r"(?:đang bảo trì|under maintenance|too many requests|try again later)",
+    r"(?:kết nối .*(?:thất bại|bị từ chối)|connection (?:failed|refused|timed out)|an error (?:has )?occurred)",
+    r"\b(?:javascript|scripts?)\b|tập lệnh|kịch bản",
+    r"(?:đang được cập nhật|chưa có nội dung|đang chờ biên tập|sẽ được bổ sung|coming soon|under construction)",
+    r"(?:(?:văn bản|tiêu đề|nội dung) mẫu|văn bản thử|chữ (?:giữ chỗ|thử|mẫu)|sample text|placeholder text)",
 ]
 #: Words of the standard passage of placeholder Latin that no other language of the corpus has.
 LATIN = (
