@@ -28,8 +28,8 @@ from vankho.runtime import cut
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bytes of text that a task works on at once.
 SLICE = 2_000_000
-#: Bits of a filter of shingles for each of them, and of the whole filter at most (its exponent).
-FILTER_BITS, LARGEST_FILTER = 64, 27
+#: Bits of a filter for each shingle and each key of a table, and of the whole filter at most (its exponent).
+FILTER_BITS, TABLE_BITS, LARGEST_FILTER = 64, 16, 27
 #: Words that a task adds up before it hands them on.
 HELD_WORDS = 1_000_000
 
@@ -363,10 +363,10 @@ def _probes(shingle: np.ndarray, exponent: int) -> Iterator[np.ndarray]:
         yield ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - exponent)
 
 
-def shingle_filter(lists: DataFrame, name: str) -> tuple[np.ndarray, int]:
+def shingle_filter(lists: DataFrame, name: str, each: int = FILTER_BITS) -> tuple[np.ndarray, int]:
     """(bytes, exponent) of a filter that lets all shingles of the column of lists pass and few others; the driver gets bits only."""
     total = lists.select(F.sum(F.size(name))).first()[0] or 0
-    exponent = int(min(LARGEST_FILTER, max(10, np.ceil(np.log2(max(1, total) * FILTER_BITS)))))
+    exponent = int(min(LARGEST_FILTER, max(10, np.ceil(np.log2(max(1, total) * each)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << exponent, bool)
@@ -389,9 +389,26 @@ def passes(shingle: np.ndarray, held: np.ndarray, exponent: int) -> np.ndarray:
     return out
 
 
+def table_keys(simhash: np.ndarray, core: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of each segment in the SimHash tables, partitioned by core shingle: one for each of its shingles and every two blocks."""
+    block = [(simhash >> np.uint64(i * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
+    slots = np.stack([np.uint64(i * BLOCKS + j) << np.uint64(2 * BLOCK_BITS) | block[i] << np.uint64(BLOCK_BITS) | block[j] for i in range(BLOCKS) for j in range(i)], 1)
+    slots = (slots + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    slots ^= slots >> np.uint64(29)
+    return [(c[:, None] ^ slot[None, :]).ravel() for c, slot in zip(core, slots)]
+
+
 def touched(documents: DataFrame, frontier: DataFrame) -> DataFrame:
-    """(class, simhash, shingles, hits) of every class that has shingles of the frontier's cores (hits); to these alone labels can pass."""
-    core = documents.sparkSession.sparkContext.broadcast(shingle_filter(frontier, "core"))
+    """(class, simhash, shingles, hits) of every class that shares a core shingle (hits) and a SimHash table with a class of the frontier,
+    and has SIMILARITY of its shingles among the frontier's; to these alone labels can pass."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            core = [np.array(c, np.int64).view(np.uint64) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([_array(table_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), core))], names=["key"])
+
+    keys = cut(frontier.select("simhash", "core").mapInArrow(keyed, "key array<bigint>"))
+    filters = documents.sparkSession.sparkContext.broadcast([shingle_filter(frontier, "core"), shingle_filter(frontier, "shingles"), shingle_filter(keys, "key", TABLE_BITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -400,7 +417,8 @@ def touched(documents: DataFrame, frontier: DataFrame) -> DataFrame:
                 continue
             key, shingle, segment, *_ = _classes(lines)
             hit = np.zeros(len(lines), bool)
-            inside = passes(shingle, *core.value)
+            core, whole, tables = filters.value
+            inside = passes(shingle, *core)
             hit[segment[inside]] = True
             at = np.flatnonzero(hit)
             some = lines.take(pa.array(at))
@@ -415,7 +433,13 @@ def touched(documents: DataFrame, frontier: DataFrame) -> DataFrame:
             place, n = np.cumsum(hit) - 1, int(hit.sum())
             lists = _lists(shingle[kept], place[segment[kept]], n)
             hits = _lists(shingle[kept & inside], place[segment[kept & inside]], n)
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(_simhashes(lists)), _array(lists), _array(hits)], names=["class", "simhash", "shingles", "hits"])
+            enough = np.array([passes(a, *whole).sum() >= SIMILARITY * len(a) - 1e-9 for a in lists], bool)
+            lists, hits, found = [a for a, ok in zip(lists, enough) if ok], [a for a, ok in zip(hits, enough) if ok], key[hit][enough]
+            hashes = _simhashes(lists)
+            own = table_keys(hashes.view(np.uint64), hits)
+            met = np.array([passes(k, *tables).any() for k in own], bool)
+            lists, hits = [a for a, ok in zip(lists, met) if ok], [a for a, ok in zip(hits, met) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array(found[met]), pa.array(hashes[met]), _array(lists), _array(hits)], names=["class", "simhash", "shingles", "hits"])
 
     return _given(documents).mapInArrow(run, "class bigint, simhash bigint, shingles array<bigint>, hits array<bigint>")
 
@@ -437,13 +461,6 @@ def with_simhash(frontier: DataFrame) -> DataFrame:
     return frontier.select("class", "shingles", "core").mapInArrow(run, "class bigint, shingles array<bigint>, core array<bigint>, simhash bigint")
 
 
-def in_tables(df: DataFrame) -> DataFrame:
-    """`df` with a row for each SimHash table: `slot` is the table with the bits of its two blocks."""
-    block = [F.shiftrightunsigned("simhash", i * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
-    keys = [F.lit(i * BLOCKS + j).cast("bigint") * (1 << (2 * BLOCK_BITS)) + block[i] * (1 << BLOCK_BITS) + block[j] for i in range(BLOCKS) for j in range(i)]
-    return df.withColumn("slot", F.explode(F.array(*keys)))
-
-
 def _similar(a: str, b: str) -> Column:
     """The two lists of different shingles are near-duplicates."""
     return F.size(F.array_intersect(a, b)) >= SIMILARITY * F.size(F.array_union(a, b)) - 1e-9
@@ -452,10 +469,11 @@ def _similar(a: str, b: str) -> Column:
 def near_duplicates(frontier: DataFrame, open_: DataFrame) -> DataFrame:
     """(class, core) of the classes of `open_` that are near-duplicates of classes of `frontier` and share a shingle of their core.
 
-    Pairs meet in SimHash tables; then Hamming distance, number of shingles and SIMILARITY are asked. core: what they share of the cores.
+    What the SimHash tables brought meets by core shingle; then Hamming distance, number of shingles and SIMILARITY are asked. core: what
+    they share of the cores.
     """
-    given = in_tables(frontier.select(F.col("class").alias("from"), F.size("shingles").alias("from_size"), "simhash")).withColumnRenamed("simhash", "from_hash")
-    asked = in_tables(open_.select("class", F.size("shingles").alias("size"), "simhash"))
+    given = frontier.select(F.col("class").alias("from"), F.size("shingles").alias("from_size"), F.col("simhash").alias("from_hash"), F.explode("core").alias("slot"))
+    asked = open_.select("class", F.size("shingles").alias("size"), "simhash", F.explode("hits").alias("slot"))
     near = F.bit_count(F.col("simhash").bitwiseXOR(F.col("from_hash"))) <= HAMMING
     alike = (F.col("size") >= SIMILARITY * F.col("from_size") - 1e-9) & (F.col("from_size") >= SIMILARITY * F.col("size") - 1e-9)
     met = asked.join(given, "slot").where(near & alike & (F.col("class") != F.col("from"))).select("class", "from").distinct()
