@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,3 +126,100 @@ def normalised(vector: Column) -> Column:
     """Vector of length 1; null for a vector of zeros."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(size > 1e-9, F.transform(vector, lambda x: x.cast("double") / size))
+
+
+#: Control and formatting characters that are dropped, line ends and tabs aside.
+CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]"
+#: Headings at the start of a line, marks of lists and quotes before them aside, and references that are none.
+CHAPTER_LINE = r"(?iu)^[\s#*`\"„“”—–-]*chương\s+([ivxlcdm0-9]+)"
+ARTICLE_LINE = r"(?iu)^[\s#*`\"„“”—–-]*điều\s+([0-9]+[a-z]?)"
+INLINE = r"(?iu)(?:quy định tại|căn cứ tại|theo|khoản\s+[0-9]+\s+của|điểm\s+[a-z]\s+khoản\s+[0-9]+\s+)\s+điều\s+[0-9]+"
+#: What a legal text refers to, by kind.
+LEGAL_PARTS = {
+    "articles": r"(?iu)điều\s+([0-9]+)",
+    "clauses": r"(?iu)khoản\s+([0-9]+)",
+    "points": r"(?iu)điểm\s+([a-zđ])",
+    "circulars": r"(?iu)thông tư\s+(?:số\s+)?([0-9]+(?:/[0-9]+/[-a-zA-Z0-9_đĐ]*)?)",
+    "years": r"\b(20[0-9]{2}|19[0-9]{2})\b",
+}
+
+
+def nfc(col: Column) -> Column:
+    """Composed form (NFC); Spark has no function for it, so whole batches go to pandas."""
+
+    @F.pandas_udf("string")
+    def composed(text: pd.Series) -> pd.Series:
+        return text.str.normalize("NFC")
+
+    return composed(col)
+
+
+def normal_text(col: Column) -> Column:
+    """Composed letters, line ends of one form, no control or formatting characters."""
+    return F.regexp_replace(F.regexp_replace(nfc(col), "\r\n?", "\n"), CONTROL, "")
+
+
+def first_heading(text: Column, pattern: str, name: str) -> Column:
+    """`name n` of the first line that is such a heading and no reference in a sentence; null where there is none."""
+    line = F.get(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(pattern) & ~x.rlike(INLINE)), F.lit(0))
+    return F.concat(F.lit(name + " "), F.regexp_extract(line, pattern, 1))
+
+
+def legal_parts(text: Column, kind: str) -> Column:
+    """Sorted distinct references of one kind of LEGAL_PARTS, in small letters."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LEGAL_PARTS[kind]), 1), lambda x: F.lower(x))))
+
+
+def pieces_within(text: str, size: int) -> list[str]:
+    """Pieces of at most `size` characters, cut at the last blank that fits, else hard."""
+    out, rest = [], text.strip(" ")
+    while len(rest) > size:
+        at = rest.rfind(" ", 0, size + 1)
+        at = at if at > 0 else size
+        out.append(rest[:at].strip(" "))
+        rest = rest[at:].strip(" ")
+    return [*out, rest] if rest else out
+
+
+def within_limit(col: Column, size: int) -> Column:
+    """array<string>: `pieces_within`; texts that fit are not handed to Python by their own length check."""
+
+    @F.pandas_udf("array<string>")
+    def cut(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: pieces_within(t or "", size))
+
+    short = F.trim(col)
+    return F.when(F.length(short) <= size, F.filter(F.array(short), lambda x: x != "")).otherwise(cut(col))
+
+
+def source_citation(source: Column, first: Column, last: Column, chunk: Column) -> Column:
+    """`[Nguồn: source, tr. a-b, chunk: id]`; one page is written once."""
+    pages = F.when(first == last, first.cast("string")).otherwise(F.concat_ws("-", first.cast("string"), last.cast("string")))
+    return F.concat(F.lit("[Nguồn: "), source, F.lit(", tr. "), pages, F.lit(", chunk: "), chunk, F.lit("]"))
+
+
+def file_name(col: Column) -> Column:
+    """Characters that file systems forbid, and blanks, to underscores; no underscores in a row or at the ends."""
+    return F.regexp_replace(F.regexp_replace(col, r'[\\/:*?"<>|\s]+', "_"), r"^_+|_+$", "")
+
+
+def highlighted(col: Column, needle: str, before: str = "**", after: str = "**") -> Column:
+    """Every occurrence of `needle`, whatever its case, between marks."""
+    return F.regexp_replace(col, f"(?iu)({re.escape(needle)})", before + "$1" + after) if needle else col
+
+
+def unfenced(col: Column) -> Column:
+    """The text within a Markdown code fence, if there is one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(col), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+
+
+def wiki_links(col: Column) -> Column:
+    """Targets of [[target|alias]] and [[target#heading]], in written order."""
+    found = F.regexp_extract_all(col, F.lit(r"\[\[([^\]\[]+)\]\]"), 1)
+    return F.transform(found, lambda x: F.trim(F.substring_index(F.substring_index(x, "|", 1), "#", 1)))
+
+
+def front_matter(col: Column) -> Column:
+    """map<string,string> of the `key: value` lines between the first two lines of dashes; null where there are none."""
+    head = F.regexp_extract(col, r"(?s)^---\n(.*?)\n---", 1)
+    return F.when(head != "", F.map_from_entries(F.filter(F.transform(F.split(head, "\n"), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^[^:]*:?", "")))), lambda e: e["col1"] != "")))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vankho.functions.text import HEADINGS
+from vankho.functions.text import HEADINGS, pieces_within
 from vankho.operators.ordered import running_total
 
 
@@ -82,6 +86,55 @@ def article_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
+def _packed_units(text: str, size: int) -> list[str]:
+    """Units (paragraphs, lines that begin with a capital) packed while they fit; a longer unit is cut by sentences, then by blanks."""
+    out, open_ = [], ""
+    for unit in filter(None, (u.strip() for u in re.split(r"\n\s*\n|\n(?=[A-ZĐÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝĂƠƯ])", text))):
+        if open_ and len(open_) + len(unit) + 2 > size:
+            out, open_ = [*out, open_], ""
+        if len(unit) <= size:
+            open_ = f"{open_}\n\n{unit}".strip()
+            continue
+        for part in (p for sentence in re.split(r"(?<=[.!?;:])\s+", unit) for p in pieces_within(sentence, size)):
+            if open_ and len(open_) + len(part) + 1 > size:
+                out, open_ = [*out, open_], ""
+            open_ = f"{open_} {part}".strip()
+    return [*out, open_] if open_ else out
+
+
+def unit_chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, pos, text): every text's units packed to at most `size` characters. Null and blank texts have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lists = [_packed_units(t, size) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].repeat([len(x) for x in lists]).to_numpy(), "pos": [i for x in lists for i in range(len(x))], "text": [c for x in lists for c in x]})
+
+    return docs.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, pos bigint, text string")
+
+
+def level_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, block, path, n_lines, n_chars): one chunk for each heading of any level, block 0 before the first.
+
+    path: the headings that hold there; a level holds only if it stands after the last heading of every higher level.
+    """
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    names = list(HEADINGS)
+    hit = lines.select("*", *[F.when(F.col("line").rlike(HEADINGS[n]), F.struct((F.col("line_no") + 1).alias("at"), F.trim("line").alias("line"))).alias(n) for n in names])
+    run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.coalesce(*names).isNotNull()
+    held = hit.select("doc_id", "line_no", "line", F.sum(level.cast("bigint")).over(run).alias("block"), *[F.last(n, ignorenulls=True).over(run).alias(n) for n in names])
+    above = lambda i: [F.col(f"{names[i]}.at") > F.coalesce(F.col(f"{names[j]}.at"), F.lit(0)) for j in range(i)]
+    kept = []
+    for i, n in enumerate(names):
+        holds = F.col(f"{n}.at").isNotNull()
+        for rule in above(i):
+            holds = holds & rule
+        kept.append(F.when(holds, F.col(f"{n}.line")))
+    path = F.array_join(F.array_compact(F.array(*kept)), " > ")
+    return held.withColumn("path", path).groupBy("doc_id", "block").agg(F.min_by("path", "line_no").alias("path"), F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
 def parents(chunks: DataFrame) -> DataFrame:
     """(parent_id, source, page_start, page_end, children, chars): chunks of one parent put together, two characters between."""
     given = chunks.where("parent_id is not null and text is not null")
