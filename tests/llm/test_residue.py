@@ -11,7 +11,7 @@ NO = ["cán bộ giữ nguyên chuỗi “{{ky_han}}” cho tới khi in", "kí
 def test_trusted_labels():
     lines = pa.array(YES + NO)
     hashes, starts = R._masked(lines)
-    got, quoted = R.trusted(lines, np.diff(starts), R._kinds(hashes, starts), np.zeros(len(lines), int))
+    got, quoted = R.trusted(lines, np.diff(starts), R._kinds(hashes, starts))
     assert not (got & quoted).any() and quoted[len(YES)]
     assert got.tolist() == [True] * len(YES) + [False] * len(NO)
 

@@ -127,11 +127,11 @@ def repeats_itself(line: str) -> bool:
     return len(sentences) > 1 and 2 * len(set(sentences)) <= len(sentences)
 
 
-def trusted(lines: pa.Array, words_in: np.ndarray, kinds_in: np.ndarray, latin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trusted(lines: pa.Array, words_in: np.ndarray, kinds_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which lines are residue by themselves, and which only quote a placeholder. Whole batches are matched by Arrow; single lines are
     looked at only where they hold signs of placeholders or few different words.
 
-    words_in, kinds_in: how many words and how many different words a line has; latin: how many of them are placeholder Latin.
+    words_in, kinds_in: how many words and how many different words a line has.
     """
     found, quoted = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
     # a line with none of these letters matches no pattern
@@ -142,7 +142,7 @@ def trusted(lines: pa.Array, words_in: np.ndarray, kinds_in: np.ndarray, latin:
     quoted[at] = [bool(_PLACEHOLDER.search(line)) for line in marked]
     quoted &= ~found
     found |= pc.match_substring_regex(lines, _LEFTOVER).to_numpy(zero_copy_only=False)
-    found |= (words_in >= LEAST_WORDS) & ((kinds_in <= FEW_KINDS) | (latin >= LATIN_SHARE * words_in))
+    found |= (words_in >= LEAST_WORDS) & (kinds_in <= FEW_KINDS)
     again = np.flatnonzero((words_in >= LEAST_WORDS) & (2 * kinds_in <= words_in) & ~found)
     found[again] = [repeats_itself(line) for line in lines.take(pa.array(again)).to_pylist()]
     quoted |= pc.match_substring_regex(lines, r"^\s*" + _QUOTED).to_numpy(zero_copy_only=False)
@@ -252,12 +252,21 @@ def _classes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _kinds(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """How many different words every line has."""
     line = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.lexsort((hashes, line))
+    order = np.argsort(hashes, kind="stable")
     fresh = np.ones(len(order), bool)
     fresh[1:] = (hashes[order][1:] != hashes[order][:-1]) | (line[order][1:] != line[order][:-1])
     return np.bincount(line[order][fresh], minlength=len(starts) - 1)
 
 
+def _different(shingle: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of every segment, in order of segments."""
+    order = np.lexsort((shingle, segment))
+    shingle, segment = shingle[order], segment[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (shingle[1:] != shingle[:-1]) | (segment[1:] != segment[:-1])
+    return shingle[fresh], segment[fresh]
+
+
 def _lists(shingle: np.ndarray, segment: np.ndarray, segments: int) -> list[np.ndarray]:
     """Different shingles of every segment."""
     bounds = np.searchsorted(segment, np.arange(segments + 1))
@@ -275,58 +284,69 @@ def _cores(lines: list[str], own: list[np.ndarray]) -> list[np.ndarray]:
     return [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(own, beside)]
 
 
+def _nested(value: np.ndarray, segment: np.ndarray, segments: int) -> pa.Array:
+    """List array of the values of every segment."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(segment, np.arange(segments + 1)), pa.int32()), pa.array(value.view(np.int64)))
+
+
 def _array(lists: list[np.ndarray]) -> pa.Array:
     return pa.array([a.view(np.int64) for a in lists], pa.list_(pa.int64()))
 
 
-def placeholder_latin(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """A filter of the words of placeholder Latin: those that mostly stand in lines with words of the standard passage.
+class _Uses:
+    """Uses of every word, and those in lines with a word of the standard passage, added up over a task."""
 
-    Uses of every word, and those in such lines, are added up by task and then over all documents.
-    """
-    seeds = np.sort(_masked(pa.array(LATIN))[0])
+    def __init__(self):
+        self.seeds = np.sort(_masked(pa.array(LATIN))[0])
+        self.word, self.sums = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        for batch in slices(batches):
-            lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
-            hashes, starts = _masked(lines)
-            line = np.repeat(np.arange(len(lines)), np.diff(starts))
-            beside = np.zeros(len(lines), bool)
-            beside[line[np.isin(hashes, seeds)]] = True
-            word, place = np.unique(np.concatenate([held[0], hashes]), return_inverse=True)
-            sums = np.zeros((len(word), 2), np.int64)
-            np.add.at(sums, place[: len(held[0])], held[1])
-            own = place[len(held[0]) :]
-            sums[:, 0] += np.bincount(own, minlength=len(word))
-            sums[:, 1] += np.bincount(own[beside[line]], minlength=len(word))
-            held = word, sums
-            if len(word) > HELD_WORDS:
-                yield _sums(*held)
-                held = word[:0], sums[:0]
-        yield _sums(*held)
-
-    def _sums(word: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["word", "uses", "beside"])
-
-    counted = _given(documents).mapInArrow(run, "word bigint, uses bigint, beside bigint").groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("beside").alias("beside"))
-    latin = cut(counted.where((F.col("beside") >= BESIDE * F.col("uses")) & (F.col("beside") >= USES)).select(F.array("word").alias("word")))
+    def add(self, hashes: np.ndarray, line: np.ndarray, lines: int) -> None:
+        beside = np.zeros(lines, bool)
+        beside[line[np.isin(hashes, self.seeds)]] = True
+        fresh, place = np.unique(hashes, return_inverse=True)
+        counts = np.stack([np.bincount(place, minlength=len(fresh)), np.bincount(place[beside[line]], minlength=len(fresh))], 1)
+        word, place = np.unique(np.concatenate([self.word, fresh]), return_inverse=True)
+        sums = np.zeros((len(word), 2), np.int64)
+        sums[place[: len(self.word)]] = self.sums
+        sums[place[len(self.word) :]] += counts
+        self.word, self.sums = word, sums
+
+    def rows(self) -> pa.RecordBatch:
+        """One row for each word, in the columns of `segments`; the uses stand where lines have their shingles."""
+        n = len(self.word)
+        used = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 2, pa.int32()), pa.array(self.sums.ravel()))
+        columns = [pa.nulls(n, pa.int64()), pa.array(self.word.view(np.int64)), pa.nulls(n, pa.bool_()), used, pa.nulls(n, pa.list_(pa.int64()))]
+        self.word, self.sums = self.word[:0], self.sums[:0]
+        return pa.RecordBatch.from_arrays(columns, names=_SEGMENTS)
+
+
+_SEGMENTS = ["doc_id", "class", "label", "shingles", "core"]
+
+
+def placeholder_latin(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A filter of the words of placeholder Latin: those that mostly stand in lines with words of the standard passage."""
+    counted = rows.where("doc_id is null").groupBy("class").agg(F.sum(F.get("shingles", F.lit(0))).alias("uses"), F.sum(F.get("shingles", F.lit(1))).alias("beside"))
+    latin = cut(counted.where((F.col("beside") >= BESIDE * F.col("uses")) & (F.col("beside") >= USES)).select(F.array("class").alias("word")))
     return shingle_filter(latin, "word")
 
 
 def segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, class, label, shingles, core) of every line; label: it is trusted residue, and only then are there lists."""
-    latin = documents.sparkSession.sparkContext.broadcast(placeholder_latin(documents))
+    """(doc_id, class, label, shingles, core) of every line; label: it is trusted residue, and only then are there lists.
+
+    Rows without doc_id are words (class) with their uses, counted in the same pass; see `placeholder_latin`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = _Uses()
         for batch in slices(batches):
             lines, doc = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
             key, shingle, segment, hashes, starts = _classes(lines)
-            line = np.repeat(np.arange(len(lines)), np.diff(starts))
-            latins = np.bincount(line[passes(hashes, *latin.value)], minlength=len(lines))
-            label, quoted = trusted(lines, np.diff(starts), _kinds(hashes, starts), latins)
+            uses.add(hashes, np.repeat(np.arange(len(lines)), np.diff(starts)), len(lines))
+            if len(uses.word) > HELD_WORDS:
+                yield uses.rows()
+            label, quoted = trusted(lines, np.diff(starts), _kinds(hashes, starts))
             # a message is trusted where a document holds little else
             message = pc.match_substring_regex(lines, _MESSAGE).to_numpy(zero_copy_only=False) & ~quoted & (np.diff(starts) <= MESSAGE_WORDS)
             size = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
@@ -342,7 +362,8 @@ def segments(documents: DataFrame) -> DataFrame:
             # null for the other lines
             rows = pa.array(np.where(label, place, 0), mask=~label)
             columns = [pa.array(doc, pa.int64()), pa.array(key), pa.array(label), _array(own_lists).take(rows), _array(cores).take(rows)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "label", "shingles", "core"])
+            yield pa.RecordBatch.from_arrays(columns, names=_SEGMENTS)
+        yield uses.rows()
 
     return _given(documents).mapInArrow(run, "doc_id bigint, class bigint, label boolean, shingles array<bigint>, core array<bigint>")
 
@@ -389,57 +410,71 @@ def passes(shingle: np.ndarray, held: np.ndarray, exponent: int) -> np.ndarray:
     return out
 
 
-def table_keys(simhash: np.ndarray, core: list[np.ndarray]) -> list[np.ndarray]:
-    """Keys of each segment in the SimHash tables, partitioned by core shingle: one for each of its shingles and every two blocks."""
+def table_keys(simhash: np.ndarray, core: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """(cores, tables) keys in the SimHash tables, partitioned by core shingle: one for each core shingle of a segment and every two blocks."""
     block = [(simhash >> np.uint64(i * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
     slots = np.stack([np.uint64(i * BLOCKS + j) << np.uint64(2 * BLOCK_BITS) | block[i] << np.uint64(BLOCK_BITS) | block[j] for i in range(BLOCKS) for j in range(i)], 1)
     slots = (slots + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     slots ^= slots >> np.uint64(29)
-    return [(c[:, None] ^ slot[None, :]).ravel() for c, slot in zip(core, slots)]
+    return core[:, None] ^ slots[segment]
 
 
-def touched(documents: DataFrame, frontier: DataFrame) -> DataFrame:
+def touched(documents: DataFrame, frontier: DataFrame, latin: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """(class, simhash, shingles, hits) of every class that shares a core shingle (hits) and a SimHash table with a class of the frontier,
-    and has SIMILARITY of its shingles among the frontier's; to these alone labels can pass."""
+    and has SIMILARITY of its shingles among the frontier's; to these alone labels can pass.
+
+    With a filter of placeholder Latin, classes of lines written in it come out too, without lists.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            core = [np.array(c, np.int64).view(np.uint64) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_array(table_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), core))], names=["key"])
+            core = batch.column(1)
+            owner = pc.list_parent_indices(core).to_numpy(zero_copy_only=False)
+            keys = table_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), core.flatten().to_numpy(zero_copy_only=False).view(np.uint64), owner)
+            width = BLOCKS * (BLOCKS - 1) // 2
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * width, pa.int32()), pa.array(keys.ravel().view(np.int64)))], names=["key"])
 
     keys = cut(frontier.select("simhash", "core").mapInArrow(keyed, "key array<bigint>"))
-    filters = documents.sparkSession.sparkContext.broadcast([shingle_filter(frontier, "core"), shingle_filter(frontier, "shingles"), shingle_filter(keys, "key", TABLE_BITS)])
+    filters = documents.sparkSession.sparkContext.broadcast([shingle_filter(frontier, "core"), shingle_filter(frontier, "shingles"), shingle_filter(keys, "key", TABLE_BITS), latin])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, whole, tables, foreign = filters.value
         for batch in slices(batches):
             lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
-            key, shingle, segment, *_ = _classes(lines)
-            hit = np.zeros(len(lines), bool)
-            core, whole, tables = filters.value
+            key, shingle, segment, hashes, starts = _classes(lines)
             inside = passes(shingle, *core)
+            hit = np.zeros(len(lines), bool)
             hit[segment[inside]] = True
             at = np.flatnonzero(hit)
             some = lines.take(pa.array(at))
-            quoted = np.zeros(len(lines), bool)
-            quoted[at] = trusted(some, *[np.zeros(len(some), np.int64)] * 3)[1]
             # lines that quote are told from what they quote and take no label
-            at = at[~quoted[at]]
-            first = np.zeros(len(lines), bool)
-            first[at[np.unique(key[at], return_index=True)[1]]] = True
-            hit &= first
-            kept = hit[segment]
-            place, n = np.cumsum(hit) - 1, int(hit.sum())
-            lists = _lists(shingle[kept], place[segment[kept]], n)
-            hits = _lists(shingle[kept & inside], place[segment[kept & inside]], n)
-            enough = np.array([passes(a, *whole).sum() >= SIMILARITY * len(a) - 1e-9 for a in lists], bool)
-            lists, hits, found = [a for a, ok in zip(lists, enough) if ok], [a for a, ok in zip(hits, enough) if ok], key[hit][enough]
-            hashes = _simhashes(lists)
-            own = table_keys(hashes.view(np.uint64), hits)
-            met = np.array([passes(k, *tables).any() for k in own], bool)
-            lists, hits = [a for a, ok in zip(lists, met) if ok], [a for a, ok in zip(hits, met) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array(found[met]), pa.array(hashes[met]), _array(lists), _array(hits)], names=["class", "simhash", "shingles", "hits"])
+            at = at[~trusted(some, *[np.zeros(len(some), np.int64)] * 2)[1]]
+            at = at[np.unique(key[at], return_index=True)[1]]
+            hit = np.zeros(len(lines), bool)
+            hit[at] = True
+            held, owner = _different(shingle[hit[segment]], segment[hit[segment]])
+            share = np.bincount(owner[passes(held, *whole)], minlength=len(lines)) >= SIMILARITY * np.bincount(owner, minlength=len(lines)) - 1e-9
+            keep = share[owner]
+            held, owner = held[keep], owner[keep]
+            # numbered anew: those that are left
+            own, owner = np.unique(owner, return_inverse=True)
+            sim = simhash(held, owner, len(own))
+            cored = passes(held, *core)
+            met = np.zeros(len(own), bool)
+            keyed_ = table_keys(sim, held[cored], owner[cored])
+            met[owner[cored][passes(keyed_.ravel(), *tables).reshape(keyed_.shape).any(axis=1)]] = True
+            keep = met[owner]
+            held, cored, owner = held[keep], cored[keep], (np.cumsum(met) - 1)[owner[keep]]
+            columns = [pa.array(key[own][met]), pa.array(sim[met].view(np.int64)), _nested(held, owner, int(met.sum())), _nested(held[cored], owner[cored], int(met.sum()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "simhash", "shingles", "hits"])
+            if foreign is not None:
+                line = np.repeat(np.arange(len(lines)), np.diff(starts))
+                words_in = np.diff(starts)
+                told = key[(words_in >= LEAST_WORDS) & (np.bincount(line[passes(hashes, *foreign)], minlength=len(lines)) >= LATIN_SHARE * words_in)]
+                n = len(told)
+                yield pa.RecordBatch.from_arrays([pa.array(told), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=["class", "simhash", "shingles", "hits"])
 
     return _given(documents).mapInArrow(run, "class bigint, simhash bigint, shingles array<bigint>, hits array<bigint>")
 
@@ -485,14 +520,15 @@ def near_duplicates(frontier: DataFrame, open_: DataFrame) -> DataFrame:
 
 def residue_documents(documents: DataFrame) -> DataFrame:
     """doc_id of each document with residue. Null, empty and blank texts and rows without doc_id are none; equal texts each give their row."""
-    lines = cut(segments(documents))
+    rows = cut(segments(documents))
+    lines = rows.where("doc_id is not null").select("doc_id", "class", "label", "shingles", "core")
     frontier = cut(with_simhash(lines.where("label").select("class", "shingles", "core").dropDuplicates(["class"])))
-    labelled = frontier.select("class")
+    labelled, latin = frontier.select("class"), placeholder_latin(rows)
     while True:
-        open_ = touched(documents, frontier).join(labelled.hint("merge"), "class", "left_anti")
-        open_ = cut(open_.dropDuplicates(["class"]))
-        if open_.isEmpty():
-            break
+        met = cut(touched(documents, frontier, latin))
+        if latin is not None:
+            labelled, latin = cut(labelled.unionAll(met.where("shingles is null").select("class")).distinct()), None
+        open_ = met.where("shingles is not null").join(labelled.hint("merge"), "class", "left_anti").dropDuplicates(["class"])
         found = near_duplicates(frontier, open_)
         frontier = cut(open_.select("class", "shingles", "simhash").join(found, "class").select("class", "shingles", "core", "simhash"))
         if frontier.isEmpty():
