@@ -29,6 +29,12 @@ def vector_ok(vector: Column, size: int) -> Column:
     )
 
 
+def vector_error(vector: Column, size: int) -> Column:
+    """Reason why a vector breaks the contract, else "ok"."""
+    finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    return F.when(vector.isNull(), "null").when(F.size(vector) != size, "size").when(~finite, "not finite").when(~F.exists(vector, lambda x: F.abs(x) > 1e-9), "zero").otherwise("ok")
+
+
 def text_problems(text: Column) -> Column:
     """Array of flags of a bad text layer: empty, replaced characters, digits inside words, mixed case, control characters."""
     mixed = F.regexp_count(text, F.lit(r"[a-zđ][A-ZĐ][a-zđ]"))

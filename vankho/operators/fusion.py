@@ -28,12 +28,12 @@ def reciprocal(lexical: DataFrame, dense: DataFrame, lexical_weight: float = 1.0
     return _ranked(scored, F.desc("rrf"), best, F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), F.asc("id"), out="fused_rank")
 
 
-def across_queries(lists: DataFrame, k: int = K) -> DataFrame:
+def across_queries(lists: DataFrame, k: int = K, digits: int = 6) -> DataFrame:
     """(query_id, id, score, support, best_rank, rank): lists(query_id, variant, weight, id, rank) of the variants of a query fused.
 
-    Order: score, how many variants support the id, its best rank, id.
+    Order: score (rounded to `digits`), how many variants support the id, its best rank, id.
     """
-    summed = lists.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), 6).alias("score"), F.count("*").alias("support"), F.min("rank").alias("best_rank"))
+    summed = lists.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") / (k + F.col("rank"))), digits).alias("score"), F.count("*").alias("support"), F.min("rank").alias("best_rank"))
     return _ranked(summed, F.desc("score"), F.desc("support"), F.asc("best_rank"), F.asc("id"))
 
 
@@ -53,6 +53,24 @@ def accepted(mode: str, distance: Column, score: Column, most: float = 0.45, lea
     return F.coalesce(distance <= most, F.lit(True))
 
 
+def status(accepted_count: Column, answer: Column) -> Column:
+    """Status of a question by its accepted evidence and its answer, if there is one."""
+    return F.when(accepted_count == 0, "insufficient_evidence").when(answer.isNotNull(), "answered").otherwise("retrieval_only")
+
+
+def cited(df: DataFrame, answer: str, shown: str) -> DataFrame:
+    """`df` with labels like [E1] in `answer` replaced by what the map `shown` holds for them, whatever their case.
+
+    labels: the known labels in order of first use; unknown: how many different labels the map lacks. Those are dropped; blanks in a row
+    become one.
+    """
+    found = F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[([Ee][0-9]+)\]"), 1), lambda x: F.upper(x)))
+    df = df.withColumn("_found", found)
+    replaced = F.aggregate("_found", F.col(answer), lambda text, label: F.replace(F.replace(text, F.concat(F.lit("["), label, F.lit("]")), F.coalesce(F.try_element_at(shown, label), F.lit(""))), F.concat(F.lit("["), F.lower(label), F.lit("]")), F.coalesce(F.try_element_at(shown, label), F.lit(""))))
+    known = F.filter("_found", lambda x: F.try_element_at(shown, x).isNotNull())
+    return df.withColumns({answer: F.trim(F.regexp_replace(replaced, " +", " ")), "labels": known, "unknown": (F.size("_found") - F.size(known)).cast("bigint")}).drop("_found")
+
+
 def parents_of(children: DataFrame, owner: DataFrame, best: int = 3, keep: int = 10, k: int = K) -> DataFrame:
     """(query_id, parent_id, score, children, best_rank, rank): a parent's score is that of its `best` children by rank.
 

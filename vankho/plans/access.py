@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vankho.operators import access
+from vankho.operators import access, fusion
+from vankho.operators.dense import cosine_top
+from vankho.functions.text import tokens
 from vankho.operators.lexical import bm25_scores
 from vankho.operators.ordered import running_total
 from vankho.plans.registry import registry
-from vankho.runtime import table
+from vankho.runtime import cut, table
 
 QUERIES, SQL, query = registry()
 
@@ -64,13 +66,17 @@ ranked AS (SELECT s.*, list_contains(a.roles, q.role) AS ok, row_number() OVER (
 seen AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY query_id ORDER BY r) AS cum FROM ranked), outside AS (SELECT query_id, count(*) FILTER (NOT ok AND cum < 5) AS filtered_out FROM seen GROUP BY query_id)"""
 
 
-def _secured(spark: SparkSession, d: str) -> DataFrame:
-    rows = acl(spark, d)
+def _asked(spark: SparkSession, d: str) -> DataFrame:
     role = F.when(F.col("usecase") == "HR", "HR_Manager").when(F.col("usecase") == "Risk", "Risk_Officer").otherwise("Guest")
-    asked = table(spark, d, "qa_dataset").where("row_id % 20 = 0 and question is not null").select(F.col("row_id").alias("query_id"), F.col("question").alias("text"), role.alias("role"))
+    return table(spark, d, "qa_dataset").where("row_id % 20 = 0 and question is not null").select(F.col("row_id").alias("query_id"), F.col("question").alias("text"), role.alias("role"))
+
+
+def _secured(spark: SparkSession, d: str) -> DataFrame:
+    rows, asked = acl(spark, d), _asked(spark, d)
     scored = bm25_scores(rows.where("text is not null").select(F.col("row_id").alias("id"), "text"), asked)
     lists = rows.select(F.col("row_id").alias("id"), "roles")
-    return scored.join(asked.select("query_id", "role"), "query_id").join(lists, "id").select("query_id", "id", "score", access.allowed(F.array("role"), F.col("roles")).alias("ok"))
+    # written once: what is allowed and what is counted as forbidden read the same scores
+    return cut(scored.join(asked.select("query_id", "role"), "query_id").join(lists, "id").select("query_id", "id", "score", access.allowed(F.array("role"), F.col("roles")).alias("ok")))
 
 
 @query(f"WITH {_SECURE} SELECT query_id, id, score, CAST(cum AS BIGINT) AS rank, filtered_out FROM seen JOIN outside USING (query_id) WHERE ok AND cum <= 5")
@@ -79,12 +85,22 @@ def rb_secure(spark: SparkSession, d: str) -> DataFrame:
     return access.secure_top(_secured(spark, d))
 
 
-@query(f"WITH {_SECURE} SELECT count(*) AS rows, count(*) FILTER (NOT ok) AS leaks FROM seen WHERE ok AND cum <= 5")
+_FORBIDDEN = " OR ".join("(NOT list_contains(" + _LIST(r) + ", role) AND (" + " OR ".join(f"contains(lower(body), '{w}')" for w in words) + ")" + "".join(" AND NOT (" + " OR ".join(f"contains(lower(body), '{w}')" for w in earlier) + ")" for earlier, _ in CLASSES[:i]) + ")" for i, (words, r) in enumerate(CLASSES))
+
+
+@query(f"WITH {_SECURE}, top AS (SELECT query_id, id FROM seen WHERE ok AND cum <= 5), read AS (SELECT q.role, concat_ws(' ', p.title, p.chapter, p.article, p.text) AS body FROM top JOIN q USING (query_id) JOIN agribank_internal_policies p ON p.row_id = top.id) SELECT count(*) AS rows, count(*) FILTER ({_FORBIDDEN}) AS leaks FROM read")
 def rb_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """RB10: results that their role may not read (there must be none), judged against the lists anew."""
-    scored = _secured(spark, d)
-    top = access.secure_top(scored).join(scored.select("query_id", "id", "ok"), ["query_id", "id"])
-    return top.agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("leaks"))
+    """RB10: results that their role may not read (there must be none), judged by the words of the texts read anew, not by the lists."""
+    top = access.secure_top(_secured(spark, d)).select("query_id", "id")
+    body = F.lower(F.concat_ws(" ", "title", "chapter", "article", "text"))
+    texts = table(spark, d, "agribank_internal_policies").select(F.col("row_id").alias("id"), body.alias("body"))
+    read = top.join(_asked(spark, d).select("query_id", "role"), "query_id").join(texts, "id")
+    leak, free = F.lit(False), F.lit(True)
+    for words, roles in CLASSES:
+        held = F.coalesce(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("body"), w)), F.lit(False))
+        leak = leak | (free & held & ~F.col("role").isin(roles))
+        free = free & ~held
+    return read.agg(F.count("*").alias("rows"), F.count_if(leak).alias("leaks"))
 
 
 @query("SELECT action, status, count(*) AS n, count(DISTINCT request_id) AS requests, CAST(sum(rbac_filtered_count) AS BIGINT) AS filtered, round(avg(len(retrieved_document_ids)), 4) AS documents FROM audit_log GROUP BY action, status")
@@ -153,3 +169,86 @@ def u_unpivot(spark: SparkSession, d: str) -> DataFrame:
     docs = F.when(F.col("retrieved_document_ids").isNotNull(), F.size("retrieved_document_ids").cast("bigint"))
     wide = table(spark, d, "audit_log").select("row_id", F.col("rbac_filtered_count").alias("filtered"), docs.alias("documents"))
     return wide.unpivot("row_id", ["filtered", "documents"], "stage", "ms").where("ms is not null")
+
+
+# further views
+
+_MATCHED = f"list_filter(user_role, lambda r, i: list_contains({_LIST(CLASSES[1][1])}, r) AND list_position(user_role, r) = i)"
+
+
+@query(f"SELECT row_id, array_to_string(CASE WHEN list_contains(user_role, 'Admin') THEN ['Admin'] ELSE {_MATCHED} END, '+') AS matched, coalesce(list_contains(user_role, 'Admin') OR len({_MATCHED}) > 0, false) AS allowed FROM audit_log")
+def rb_matched(spark: SparkSession, d: str) -> DataFrame:
+    """RB2: the roles of every request that let it read the second class, in the user's order."""
+    roles = F.col("user_role")
+    admin = F.coalesce(F.array_contains(roles, access.ADMIN), F.lit(False))
+    matched = F.filter(F.array_distinct(roles), lambda r: F.array_contains(F.array(*[F.lit(x) for x in CLASSES[1][1]]), r))
+    text = F.array_join(F.when(admin, F.array(F.lit(access.ADMIN))).otherwise(matched), "+")
+    return table(spark, d, "audit_log").select("row_id", text.alias("matched"), (admin | (F.coalesce(F.size(matched), F.lit(0)) > 0)).alias("allowed"))
+
+
+_ROLE_ROWS = f"{_ACL}, roled AS (SELECT a.row_id AS id, r.role FROM acl a, (SELECT unnest({_LIST(access.ROLES)}) AS role) r WHERE r.role = 'Admin' OR list_contains(a.roles, r.role))"
+
+
+@query(
+    f"""WITH {_SECURE}, lexed AS (SELECT query_id, id, CAST(cum AS BIGINT) AS rank FROM seen WHERE ok AND cum <= 20), vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x*x))) AS n FROM embeddings),
+    near AS (SELECT q.query_id, b.id, round(1 - list_dot_product(a.v, b.v)/(a.n*b.n), 6) + 0.0 AS distance FROM q JOIN vec a ON a.id = q.query_id JOIN acl ON q.role = 'Admin' OR list_contains(acl.roles, q.role) JOIN vec b ON b.id = acl.row_id), densed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near) WHERE rank <= 20)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(coalesce(bm25_rank, 1099511627776), coalesce(dense_rank, 1099511627776)), dense_rank NULLS LAST, bm25_rank NULLS LAST, id) AS fused_rank FROM (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS bm25_rank, b.rank AS dense_rank, round(CAST(coalesce(1.0/(60+a.rank),0)+coalesce(1.0/(60+b.rank),0) AS DOUBLE), 6) AS rrf FROM lexed a FULL JOIN densed b ON a.query_id=b.query_id AND a.id=b.id)"""
+)
+def rb_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """RB5: lexical and dense lists, each of rows that the role may read alone, fused by reciprocal ranks."""
+    lexical = access.secure_top(_secured(spark, d), 20).select("query_id", "id", "rank")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    lists, asked = acl(spark, d).select(F.col("row_id").alias("id"), "roles"), _asked(spark, d)
+    dense = None
+    for role in ("HR_Manager", "Risk_Officer", "Guest"):
+        own = vectors.join(lists.where(access.allowed(F.array(F.lit(role)), F.col("roles"))).select("id"), "id", "left_semi")
+        of_role = vectors.withColumnRenamed("id", "query_id").join(asked.where(F.col("role") == role).select("query_id"), "query_id", "left_semi")
+        found = cosine_top(own, of_role, 20)
+        dense = found if dense is None else dense.unionByName(found)
+    return fusion.reciprocal(lexical, dense).select("query_id", "id", "bm25_rank", "dense_rank", "rrf", "fused_rank")
+
+
+@query(f"WITH {_SECURE} SELECT query_id, id, cum AS rank, p.document_id, p.title, 'ALLOWED' AS access_decision FROM (SELECT query_id, id, CAST(cum AS BIGINT) AS cum FROM seen WHERE ok AND cum <= 5) JOIN agribank_internal_policies p ON p.row_id = id")
+def rb_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """RB6, RB7: secure results with their metadata and the decision."""
+    meta = table(spark, d, "agribank_internal_policies").select(F.col("row_id").alias("id"), "document_id", "title")
+    return access.secure_top(_secured(spark, d)).join(meta, "id", "left").select("query_id", "id", "rank", "document_id", "title", F.lit("ALLOWED").alias("access_decision"))
+
+
+@query(f"WITH {_SECURE}, every AS (SELECT s.query_id, s.id, score, r.role, row_number() OVER (PARTITION BY s.query_id, r.role ORDER BY score DESC, s.id) AS rank FROM scored s JOIN acl a ON a.row_id = s.id, (SELECT unnest({_LIST(access.ROLES)}) AS role) r WHERE r.role = 'Admin' OR list_contains(a.roles, r.role)) SELECT query_id, role, id, rank FROM every WHERE rank <= 3")
+def u_roles(spark: SparkSession, d: str) -> DataFrame:
+    """The same question under every role side by side."""
+    rows, asked = acl(spark, d), _asked(spark, d)
+    scored = bm25_scores(rows.where("text is not null").select(F.col("row_id").alias("id"), "text"), asked)
+    lists = rows.select(F.col("row_id").alias("id"), "roles")
+    each = scored.join(lists, "id").select("query_id", "id", "score", "roles", F.explode(F.array(*[F.lit(r) for r in access.ROLES])).alias("role")).where(access.allowed(F.array("role"), F.col("roles")))
+    order = Window.partitionBy("query_id", "role").orderBy(F.desc("score"), "id")
+    return each.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 3").select("query_id", "role", "id", "rank")
+
+
+@query("SELECT row_id, request_id, upper(trim(status)) AS status, len(list_distinct(retrieved_document_ids)) AS documents, CASE WHEN coalesce(len(list_distinct(retrieved_document_ids)), 0) = 0 AND coalesce(rbac_filtered_count, 0) > 0 THEN 'DENIED' ELSE 'SUCCESS' END AS decision FROM audit_log WHERE request_id IS NOT NULL")
+def au_events(spark: SparkSession, d: str) -> DataFrame:
+    """AU1, AU2: audit events as they are built: status in capitals, distinct documents; nothing found and something filtered is a denial."""
+    docs = F.when(F.col("retrieved_document_ids").isNotNull(), F.size(F.array_distinct(F.array_compact("retrieved_document_ids"))).cast("bigint"))
+    denied = (F.coalesce(docs, F.lit(0)) == 0) & (F.coalesce("rbac_filtered_count", F.lit(0)) > 0)
+    return table(spark, d, "audit_log").where("request_id is not null").select("row_id", "request_id", F.upper(F.trim("status")).alias("status"), docs.alias("documents"), F.when(denied, "DENIED").otherwise("SUCCESS").alias("decision"))
+
+
+_CORE = ["két", "thẻ trắng", "hợp đồng"]
+_AUT = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}]+)')"
+
+
+@query(f"SELECT row_id, coalesce(list_bool_or(list_transform({_LIST(_CORE)}, lambda w: contains(lower(question), w) AND contains(lower(ground_truth), w))), false) OR len(list_intersect(list_filter({_AUT.format('question')}, lambda x: length(x) >= 4), list_filter({_AUT.format('ground_truth')}, lambda x: length(x) >= 4))) >= 2 AS relevant FROM qa_dataset WHERE question IS NOT NULL AND ground_truth IS NOT NULL")
+def au_guard(spark: SparkSession, d: str) -> DataFrame:
+    """AU3: an answer is relevant if it shares a core term with the question, else two longer words."""
+    q, a = F.lower("question"), F.lower("ground_truth")
+    core = F.exists(F.array(*[F.lit(w) for w in _CORE]), lambda w: F.contains(q, w) & F.contains(a, w))
+    long = lambda c: F.filter(tokens(c), lambda x: F.length(x) >= 4)
+    both = F.size(F.array_intersect(long(F.col("question")), long(F.col("ground_truth")))) >= 2
+    return table(spark, d, "qa_dataset").where("question is not null and ground_truth is not null").select("row_id", (core | both).alias("relevant"))
+
+
+@query("SELECT row_id, id FROM metadata WHERE linh_vuc = 'Rủi ro'")
+def u_equal(spark: SparkSession, d: str) -> DataFrame:
+    """U8: rows of one domain."""
+    return table(spark, d, "metadata").where(F.col("linh_vuc") == "Rủi ro").select("row_id", "id")

@@ -197,3 +197,132 @@ def s_wiki(spark: SparkSession, d: str) -> DataFrame:
     pages = linked.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("dst").isNotNull(), F.struct("dst", "type")))).alias("links"))
     lines = F.transform("links", lambda x: F.concat(F.lit("- [["), x["dst"], F.lit("]] "), x["type"]))
     return pages.select("id", F.concat(F.lit("# "), F.col("id"), F.lit("\n"), F.array_join(lines, "\n")).alias("page"))
+
+
+# further graph queries
+
+
+@query("SELECT CASE WHEN structure.point IS NOT NULL THEN 'point' WHEN structure.clause IS NOT NULL THEN 'clause' WHEN structure.article IS NOT NULL THEN 'article' WHEN structure.chapter IS NOT NULL THEN 'chapter' ELSE 'none' END AS level, count(*) AS n FROM chunks GROUP BY 1")
+def g_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by their level."""
+    level = F.coalesce(*[F.when(F.col(f"structure.{x}").isNotNull(), x) for x in ("point", "clause", "article", "chapter")], F.lit("none"))
+    return table(spark, d, "chunks").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+
+
+_TWO = "e AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) WHERE a <> b), seeds AS (SELECT id FROM v WHERE try_cast(id AS BIGINT) % 20 = 0)"
+
+
+@query(f"WITH {_EDGES}, {_TWO}, c AS (SELECT document_id AS id, count(*) AS n FROM chunks GROUP BY 1) SELECT 0::BIGINT AS hops, s.id AS seed, coalesce(c.n, 0) AS chunks FROM seeds s LEFT JOIN c USING (id) UNION ALL SELECT 1, seed, CAST(sum(coalesce(c.n, 0)) AS BIGINT) FROM (SELECT id AS seed, id FROM seeds UNION SELECT s.id, e.b FROM seeds s JOIN e ON e.a = s.id) LEFT JOIN c USING (id) GROUP BY seed")
+def g_compare_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Context of every seed without and with its neighbours."""
+    seeds = vertices(spark, d).where(F.col("id").try_cast("bigint") % 20 == 0).select("id")
+    sizes = table(spark, d, "chunks").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("n"))
+    own = seeds.select(F.col("id").alias("seed"), "id")
+    near = graph.expand(seeds, edges(spark, d), 1).select("seed", F.col("target").alias("id"))
+    count = lambda reached, hops: reached.join(sizes, "id", "left").groupBy("seed").agg(F.sum(F.coalesce("n", F.lit(0))).alias("chunks")).select(F.lit(hops).cast("bigint").alias("hops"), "seed", "chunks")
+    return count(own, 0).unionAll(count(own.unionAll(near), 1))
+
+
+@query(f"WITH {_EDGES}, o AS (SELECT DISTINCT src, dst FROM edges WHERE type='THAY_THE') SELECT x.src AS a, x.dst AS b, y.dst AS c, z.dst AS d FROM o x JOIN o y ON x.dst = y.src JOIN o z ON y.dst = z.src WHERE x.src <> y.dst AND x.src <> z.dst AND x.dst <> z.dst")
+def g_long_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Directed chains of three replacements, no document twice."""
+    one = edges(spark, d).where("type = 'THAY_THE'").select("src", "dst").distinct()
+    last = one.select(F.col("src").alias("c"), F.col("dst").alias("d"))
+    return graph.chains(edges(spark, d), "THAY_THE").join(last, "c").where("a <> d and b <> d").select("a", "b", "c", "d")
+
+
+@query("SELECT id, nguoi_ky, chuc_danh FROM (SELECT DISTINCT id, nguoi_ky, chuc_danh FROM metadata WHERE id IS NOT NULL AND nguoi_ky IS NOT NULL) ORDER BY id, nguoi_ky, chuc_danh NULLS FIRST LIMIT 50")
+def g_signers(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty links from a document to who signed it."""
+    return table(spark, d, "metadata").where("id is not null and nguoi_ky is not null").select("id", "nguoi_ky", "chuc_danh").distinct().orderBy("id", "nguoi_ky", "chuc_danh").limit(50)
+
+
+@query(f"WITH {_EDGES} SELECT m.nguoi_ky, e.dst AS document, count(DISTINCT c.chunk_id) AS clauses FROM (SELECT DISTINCT id, nguoi_ky FROM metadata WHERE nguoi_ky IS NOT NULL AND id IS NOT NULL) m JOIN edges e ON e.src = m.id JOIN chunks c ON c.document_id = e.dst GROUP BY ALL")
+def g_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths from a signer over a document to the clauses of what it refers to."""
+    signed = table(spark, d, "metadata").where("nguoi_ky is not null and id is not null").select(F.col("id").alias("src"), "nguoi_ky").distinct()
+    clauses = table(spark, d, "chunks").groupBy(F.col("document_id").alias("document")).agg(F.count_distinct("chunk_id").alias("clauses")).where("document is not null")
+    return signed.join(edges(spark, d).select("src", "dst", "type"), "src").join(clauses, F.col("dst") == F.col("document")).select("nguoi_ky", "document", "clauses").distinct()
+
+
+@query("SELECT row_id, state FROM (SELECT r.row_id, extracted_at, CASE WHEN m.so_ky_hieu IS NOT NULL THEN 'VERIFIED' ELSE 'PROPOSED' END AS state FROM relation_candidates r LEFT JOIN (SELECT DISTINCT so_ky_hieu FROM metadata) m ON m.so_ky_hieu = r.target_so_ky_hieu) WHERE state <> 'VERIFIED' ORDER BY extracted_at DESC NULLS LAST, row_id LIMIT 100")
+def g_review(spark: SparkSession, d: str) -> DataFrame:
+    """The review queue of relations that are not verified, the newest first."""
+    known = table(spark, d, "metadata").select(F.col("so_ky_hieu").alias("target_so_ky_hieu")).where("target_so_ky_hieu is not null").distinct()
+    open_ = table(spark, d, "relation_candidates").select("row_id", "extracted_at", "target_so_ky_hieu").join(known, "target_so_ky_hieu", "left_anti")
+    return open_.orderBy(F.desc_nulls_last("extracted_at"), "row_id").limit(100).select("row_id", F.lit("PROPOSED").alias("state"))
+
+
+_NEXT = "nx AS (SELECT row_id AS src, lead(row_id) OVER (PARTITION BY document_id ORDER BY coalesce(try_cast(nullif(regexp_extract(structure.article, '([0-9]+)', 1), '') AS BIGINT), 0), row_id) AS dst FROM chunks WHERE document_id IS NOT NULL)"
+
+
+def _hints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from vankho.operators.lexical import bm25
+    from vankho.plans.retrieval import _corpus, _questions, c_next
+
+    found = bm25(_corpus(spark, d), _questions(spark, d), 5).select("query_id", "id")
+    owner = table(spark, d, "chunks").select(F.col("row_id").alias("id"), "document_id")
+    return found.join(owner, "id"), c_next(spark, d)
+
+
+def _hint_sql(k: int = 5) -> str:
+    from vankho.plans.retrieval import _bm25_sql
+
+    return f"{_bm25_sql(k)}, {_EDGES.replace('raw AS', 'rel AS').replace('FROM raw)', 'FROM rel)')}, {_NEXT}, hit AS (SELECT query_id, lex.id, c.document_id FROM lex JOIN chunks c ON c.row_id = lex.id)"
+
+
+_HINTS = _hint_sql()
+
+
+@query(f"WITH {_HINTS}, h AS (SELECT DISTINCT query_id, 'edge' AS kind, e.type AS name, e.dst AS target FROM hit JOIN edges e ON e.src = hit.document_id UNION ALL SELECT query_id, 'next', 'NEXT', CAST(nx.dst AS VARCHAR) FROM hit JOIN nx ON nx.src = hit.id WHERE nx.dst IS NOT NULL) SELECT query_id, kind, name, target FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY name, target) AS r FROM h) WHERE r <= 5")
+def g_hints(spark: SparkSession, d: str) -> DataFrame:
+    """The first five edges and following chunks of what was found for each question."""
+    hit, following = _hints(spark, d)
+    e = hit.join(edges(spark, d).withColumnRenamed("src", "document_id"), "document_id").select("query_id", F.lit("edge").alias("kind"), F.col("type").alias("name"), F.col("dst").alias("target")).distinct()
+    n = hit.join(following.withColumnRenamed("src", "id"), "id").select("query_id", F.lit("next").alias("kind"), F.lit("NEXT").alias("name"), F.col("dst").cast("string").alias("target"))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query_id", "kind").orderBy("name", "target")
+    return e.unionAll(n).withColumn("r", F.row_number().over(order)).where("r <= 5").drop("r")
+
+
+@query(f"WITH {_HINTS}, ok AS (SELECT DISTINCT id FROM metadata WHERE tinh_trang_hieu_luc = 'Còn hiệu lực' AND id IS NOT NULL), h AS (SELECT DISTINCT query_id, e.type AS name, e.dst AS target FROM hit JOIN edges e ON e.src = hit.document_id JOIN ok a ON a.id = e.src JOIN ok b ON b.id = e.dst) SELECT query_id, name, target FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name, target) AS r FROM h) WHERE r <= 10")
+def g_secure_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of what was found, both of whose ends may be shown: here documents in force."""
+    from pyspark.sql import Window
+
+    hit, _ = _hints(spark, d)
+    ok = table(spark, d, "metadata").where("tinh_trang_hieu_luc = 'Còn hiệu lực' and id is not null").select("id").distinct()
+    e = edges(spark, d).join(ok.withColumnRenamed("id", "src"), "src", "left_semi").join(ok.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    found = hit.join(e.withColumnRenamed("src", "document_id"), "document_id").select("query_id", F.col("type").alias("name"), F.col("dst").alias("target")).distinct()
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("name", "target"))).where("r <= 10").drop("r")
+
+
+@query("SELECT row_id, strategy FROM chunks WHERE NOT coalesce(strategy = 'semantic' AND source LIKE 'TT%', false)")
+def g_scoped_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What stays when the rows of one scope are deleted; null is out of every scope."""
+    scope = (F.col("strategy") == "semantic") & F.col("source").like("TT%")
+    return table(spark, d, "chunks").where(~F.coalesce(scope, F.lit(False))).select("row_id", "strategy")
+
+
+@query(f"WITH {_EDGES}, l AS (SELECT DISTINCT src, dst FROM edges) SELECT v.id AS page, (SELECT count(*) FROM l WHERE l.src = v.id) AS out_links, (SELECT count(*) FROM l WHERE l.dst = v.id) AS in_links, (SELECT count(*) FROM l WHERE l.src = v.id AND l.dst NOT IN (SELECT id FROM v)) AS broken FROM v")
+def g_wiki(spark: SparkSession, d: str) -> DataFrame:
+    """Links of the written pages read back: out- and in-degree and links without a page; all zero is an orphan page."""
+    from vankho.functions.text import wiki_links
+
+    pages = s_wiki(spark, d)
+    links = pages.select(F.col("id").alias("src"), F.explode(F.array_distinct(wiki_links(F.col("page")))).alias("dst"))
+    known = pages.select(F.col("id").alias("dst"), F.lit(1).alias("known"))
+    out = links.join(known, "dst", "left").groupBy(F.col("src").alias("page")).agg(F.count("*").alias("out_links"), F.count_if(F.col("known").isNull()).alias("broken"))
+    into = links.groupBy(F.col("dst").alias("page")).agg(F.count("*").alias("in_links"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return pages.select(F.col("id").alias("page")).join(out, "page", "left").join(into, "page", "left").select("page", zero("out_links"), zero("in_links"), zero("broken"))
+
+
+@query(f"WITH {_EDGES}, t AS (SELECT id, max_by(loai_van_ban, row_id) AS kind FROM metadata WHERE loai_van_ban IS NOT NULL AND id IS NOT NULL GROUP BY id) SELECT type, CASE WHEN a.kind IS NULL OR b.kind IS NULL THEN 'missing end' WHEN type = 'THAY_THE' AND a.kind <> b.kind THEN 'other kind' ELSE 'ok' END AS outcome, count(*) AS n FROM edges e LEFT JOIN t a ON a.id = e.src LEFT JOIN t b ON b.id = e.dst GROUP BY ALL")
+def v_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by whether both ends exist and are of the kinds that their type asks for: a document replaces one of its kind."""
+    kinds = table(spark, d, "metadata").where("loai_van_ban is not null and id is not null").groupBy("id").agg(F.max_by("loai_van_ban", "row_id").alias("kind"))
+    both = edges(spark, d).join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("a")), "src", "left").join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("b")), "dst", "left")
+    outcome = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing end").when((F.col("type") == "THAY_THE") & (F.col("a") != F.col("b")), "other kind").otherwise("ok")
+    return both.groupBy("type", outcome.alias("outcome")).agg(F.count("*").alias("n"))

@@ -108,11 +108,11 @@ def f_sigmoid(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT row_id, array_to_string(CASE WHEN len(roles) = 0 OR roles IS NULL THEN ['Guest'] ELSE roles END, '+') AS roles FROM (SELECT row_id,
     coalesce(CASE WHEN json_valid(allowed_roles) AND json_type(allowed_roles) = 'ARRAY' THEN from_json(allowed_roles, '["VARCHAR"]') END,
-    list_filter(list_transform(string_split(regexp_replace(allowed_roles, '[\\[\\]"'']', '', 'g'), ','), lambda x: trim(x)), lambda x: x <> '')) AS roles FROM qa_dataset WHERE regexp_matches(allowed_roles, '^\\[.*\\]$'))"""
+    list_filter(list_transform(string_split(regexp_replace(allowed_roles, '[\\[\\]"'']', '', 'g'), ','), lambda x: trim(x)), lambda x: x <> '')) AS roles FROM qa_dataset)"""
 )
 def f_roles(spark: SparkSession, d: str) -> DataFrame:
-    """role lists in brackets."""
-    q = table(spark, d, "qa_dataset").where(F.col("allowed_roles").rlike(r"^\[.*\]$"))
+    """role lists, JSON or parted by commas; none gives Guest."""
+    q = table(spark, d, "qa_dataset")
     return q.select("row_id", F.array_join(T.parse_roles(F.col("allowed_roles")), "+").alias("roles"))
 
 
@@ -133,6 +133,33 @@ def v_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.count_if(checks.vector_ok(F.col("embedding"), 64)).alias("good"))
 
 
+@query("SELECT label, CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) <> 64 THEN 'size' WHEN len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 THEN 'not finite' WHEN len(list_filter(embedding, lambda x: abs(x) > 1e-9)) = 0 THEN 'zero' ELSE 'ok' END AS reason, count(*) AS n FROM embeddings GROUP BY ALL")
+def v_vector_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """V2: vectors by the reason that breaks the contract."""
+    return table(spark, d, "embeddings").groupBy("label", checks.vector_error(F.col("embedding"), 64).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT strategy, count(*) AS n, count(DISTINCT source) AS sources, strategy = 'hierarchical' AS compatible FROM chunks WHERE strategy IS NOT NULL GROUP BY strategy")
+def v_compatible(spark: SparkSession, d: str) -> DataFrame:
+    """V3: collections by whether their properties equal those asked for."""
+    rows = table(spark, d, "chunks").where("strategy is not null").groupBy("strategy").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"))
+    return rows.withColumn("compatible", F.col("strategy") == "hierarchical")
+
+
+@query("SELECT c.row_id FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.row_id WHERE e.vec_id IS NULL AND c.text IS NOT NULL")
+def s_uncached(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose vectors are not held yet, by key."""
+    held = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"))
+    return table(spark, d, "chunks").where("text is not null").select("row_id").join(held, "row_id", "left_anti")
+
+
+@query("SELECT chunk_id, count(*) AS n, count(DISTINCT source) AS files FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id HAVING count(*) > 1")
+def s_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Identifiers met more than once, within a file or across files."""
+    c = table(spark, d, "chunks").where("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_distinct("source").alias("files"))
+    return c.where("n > 1")
+
+
 @query(
     """SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN trim(text) = '' THEN 'empty' END, CASE WHEN contains(text, chr(65533)) THEN 'replaced' END, CASE WHEN regexp_matches(text, 'Ã.|Ä.|Â.') THEN 'mojibake' END,
     CASE WHEN len(regexp_extract_all(text, '[\\p{L}][0-9][\\p{L}]')) >= 3 THEN 'digits' END, CASE WHEN len(regexp_extract_all(text, '[a-zđ][A-ZĐ][a-zđ]')) >= 3 THEN 'mixed' END], lambda x: x IS NOT NULL)) AS flag FROM raw_pages WHERE text IS NOT NULL) GROUP BY flag"""
