@@ -135,7 +135,7 @@ def trusted(lines: pa.Array, words_in: np.ndarray, kinds_in: np.ndarray) -> tupl
     """
     found, quoted = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
     # a line with none of these letters matches no pattern
-    marks = pc.match_substring_regex(lines, r"[{}<>«@$#%\[]|__").to_numpy(zero_copy_only=False)
+    marks = pc.match_substring_regex(lines, r"[{<«\[]|@@|__|%\(").to_numpy(zero_copy_only=False)
     at = np.flatnonzero(marks)
     marked = lines.take(pa.array(at)).to_pylist()
     found[at] = [left_over(line) for line in marked]
