@@ -55,3 +55,14 @@ def test_large_values_of_code_points():
     text = "😀" + chr(0x2FA1D) + "á"
     assert canonical_array(pa.array([text])).to_pylist() == ["😀" + chr(0x2FA1D) + "á"]
     assert np.array_equal(C.decode(pa.array([text]))[1], [0, 4])
+
+
+def test_kana_and_hangul_are_composed():
+    import unicodedata
+
+    import pyarrow as pa
+
+    from vankho.llm.canonical import canonical_array
+
+    texts = ["か\u3099き\u3099くけ ハ\u309aン", unicodedata.normalize("NFD", "한국어 은행 값"), "가", "ᅡ", "x" + unicodedata.normalize("NFD", "닭")]
+    assert canonical_array(pa.array(texts)).to_pylist() == [unicodedata.normalize("NFC", t) for t in texts]

@@ -74,3 +74,24 @@ def test_empty(spark):
     items = spark.createDataFrame([(1, "a b c d")], "item_id bigint, item_text string")
     assert find_leaks(none, items).count() == 0
     assert find_leaks(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), items.limit(0)).count() == 0
+
+
+def test_a_clause_that_many_items_share_and_a_text_repeats():
+    """2,000 repeats of an opening that 1,000 items share: the same rows as in smaller parts, in bounded memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from vankho.llm import codepoints as C
+    from vankho.llm import leakage as L
+
+    opening = "theo quy định của pháp luật hiện hành về quản lý kho quỹ"
+    rnd = random.Random(1)
+    items = [(i, opening + " " + " ".join(rnd.choice(WORDS) for _ in range(60))) for i in range(1000)]
+    p = L.phrases_of(items)
+    text = " ".join([opening + " khác"] * 2000 + [items[7][1]])
+    tracemalloc.start()
+    found = L.search_shard(*C.decode(pa.array([text, "x", items[3][1]])), p)
+    assert tracemalloc.get_traced_memory()[1] < 500_000_000
+    tracemalloc.stop()
+    assert {(int(a), int(b)) for a, b in zip(found["text"], found["item"])} == {(0, 7), (2, 3)}

@@ -58,7 +58,7 @@ def gather(cp: np.ndarray, table: np.ndarray) -> np.ndarray:
 def compositions() -> tuple[np.ndarray, np.ndarray]:
     """Sorted pairs base << 21 | mark, and the code points they compose to: every canonical composition of letter and mark."""
     pairs = {}
-    for point in range(0xC0, 0x2000):
+    for point in [*range(0xC0, 0x2000), *range(0x3040, 0x3100)]:
         parts = unicodedata.normalize("NFD", chr(point))
         once = unicodedata.decomposition(chr(point)).split()
         if len(once) == 2 and not once[0].startswith("<") and unicodedata.normalize("NFC", parts) == chr(point):
@@ -105,11 +105,30 @@ def expand(cp: np.ndarray, starts: np.ndarray, where: np.ndarray, length: np.nda
     return out, to[starts]
 
 
+def syllables(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hangul letters put together to syllables, by the rule of their code points: lead and vowel, then the tail."""
+    if not ((cp >= 0x1161) & (cp < 0x11C3)).any():
+        return cp, starts
+    for low, high in ((0x1161, 0x1176), (0x11A8, 0x11C3)):
+        first = np.zeros(len(cp) + 1, bool)
+        first[starts] = True
+        before, after = cp[:-1].astype(np.int64), cp[1:].astype(np.int64)
+        lead = (before >= 0x1100) & (before < 0x1113) if low == 0x1161 else (before >= 0xAC00) & (before < 0xD7A4) & ((before - 0xAC00) % 28 == 0)
+        at = np.flatnonzero((after >= low) & (after < high) & lead & ~first[1:-1]) + 1
+        cp = cp.copy()
+        cp[at - 1] = 0xAC00 + ((cp[at - 1] - 0x1100) * 21 + (cp[at] - 0x1161)) * 28 if low == 0x1161 else cp[at - 1] + (cp[at] - 0x11A7)
+        mask = np.ones(len(cp), bool)
+        mask[at] = False
+        cp, starts = keep(cp, starts, mask)
+    return cp, starts
+
+
 def compose(cp: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marks in canonical order and composed with their letters, all runs of the batch at once.
 
     Letters followed by marks are decomposed first; each round then sets one mark of every run on its letter.
     """
+    cp, starts = syllables(cp, starts)
     classes = mark_classes()
     marked = gather(cp, classes.astype(np.uint32)).astype(np.uint8) if cp.size and cp.max() >= TABLE else classes[cp]
     if not marked.any():

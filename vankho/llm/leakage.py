@@ -27,6 +27,8 @@ DENSITY = 0.75
 DRIFT, GAP = 8, 12
 #: Code points of a shard.
 SHARD = 6_000_000
+#: Hits that are looked at together.
+HITS = 2_000_000
 #: The items are a fixed small table; more than this and they must not be sent to every task.
 MAX_ITEMS = 20_000
 
@@ -102,14 +104,37 @@ def search_shard(cp: np.ndarray, starts: np.ndarray, p: Phrases) -> dict[str, np
     rows = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(total)
     phrase = np.repeat(np.arange(len(counts)), counts)
     at = word[index.locate(rows)]
-    # every item that has the phrase
+    # every item that has the phrase, in parts of bounded size: a part holds whole texts, or one text and a range of items
     left = np.searchsorted(p.owner, np.arange(len(counts)))
     many = np.searchsorted(p.owner, np.arange(len(counts)), "right") - left
-    size = many[phrase]
-    source = np.repeat(np.arange(total), size)
-    entry = np.repeat(left[phrase] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    hit_word, hit_text = at[source], text[at[source]]
-    return _chains(hit_text, p.item[entry], hit_word, p.place[entry], p, none)
+    order = np.argsort(text[at], kind="stable")
+    at, phrase = at[order], phrase[order]
+    found = [_chains(*hits, p, none) for hits in _parts(at, text[at], phrase, left, many, p)]
+    return {k: np.concatenate([f[k] for f in found]) for k in none}
+
+
+def _parts(at: np.ndarray, text: np.ndarray, phrase: np.ndarray, left: np.ndarray, many: np.ndarray, p: Phrases) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, item, word, place) of all hits, about HITS at a time; hits of one text and item are always together."""
+    begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    end = np.append(begin[1:], len(text))
+    total = np.concatenate([[0], np.cumsum(many[phrase])])
+    i = 0
+    while i < len(begin):
+        # whole texts that fit, at least one
+        j = max(i + 1, int(np.searchsorted(total[end], total[begin[i]] + HITS, "right")))
+        rows = slice(begin[i], end[j - 1])
+        ranges = max(1, -(-int(total[end[j - 1]] - total[begin[i]]) // HITS))
+        bounds = np.linspace(0, len(p.ids), min(ranges, len(p.ids)) + 1).astype(np.int64)
+        for low, high in zip(bounds, bounds[1:]):
+            # items stand in order within a phrase
+            base = phrase[rows] * len(p.ids)
+            key = p.owner * len(p.ids) + p.item
+            first, last = np.searchsorted(key, base + low), np.searchsorted(key, base + high)
+            size = last - first
+            source = np.repeat(np.arange(len(size)), size)
+            entry = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            yield text[rows][source], p.item[entry], at[rows][source], p.place[entry]
+        i = j
 
 
 def _chains(text: np.ndarray, item: np.ndarray, word: np.ndarray, place: np.ndarray, p: Phrases, none: dict) -> dict[str, np.ndarray]:

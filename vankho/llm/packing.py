@@ -131,7 +131,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, tok
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "container", "doc_id", "piece", "n_tokens"])
 
     mixed = sizes.withColumn("mix", F.xxhash64("doc_id")).withColumn("shard", F.pmod("mix", F.lit(shards)))
-    return mixed.groupBy("shard").applyInArrow(run, "shard bigint, container bigint, doc_id bigint, piece bigint, n_tokens bigint")
+    # by number, so that small shards are not put together in one task
+    return mixed.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "shard bigint, container bigint, doc_id bigint, piece bigint, n_tokens bigint")
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
