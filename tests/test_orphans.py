@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vankho.functions.docnum import Issuers, with_number_key
-from vankho.operators.orphans import orphan_references, pending_snapshots
+from vankho.operators.orphans import in_stretches, orphan_references, pending_snapshots
 
 REF = "key string, at timestamp_ntz, row_id bigint, source_table string, day string"
 PAR = "key string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
@@ -43,6 +43,19 @@ def test_snapshots_against_brute_force(spark):
         assert r.pending == want
 
 
+def test_stretches_equal_one_run(spark):
+    refs, parents = _cases(11)
+    r, p = spark.createDataFrame(refs, REF), spark.createDataFrame(parents, PAR)
+    whole = {x.row_id for x in orphan_references(r, p).collect()}
+    starts = [datetime(2025, 1, 20, 7), datetime(2025, 2, 1), datetime(2025, 2, 25), datetime(2026, 1, 1)]
+    found, state = in_stretches(r, p, starts)
+    assert {x.row_id for x in found.collect()} == whole
+    # what waits at the end is what the snapshot of the last month says
+    waits = {x.source_table: x.n for x in state.where("held <= 0 and source_table is not null").groupBy("source_table").agg(F.sum("asked").alias("n")).collect()}
+    last = {x.source_table: x.pending for x in pending_snapshots(r, p).where("period = '2025-03'").collect()}
+    assert waits == last
+
+
 def test_moments(spark):
     t = datetime(2025, 1, 5, 10)
     refs = spark.createDataFrame([("a", t, 1, "x", ""), ("b", t, 2, "x", ""), ("c", t, 3, "x", "")], REF)

@@ -62,3 +62,23 @@ def test_denied_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.start.hour, r.n, r.denied) for r in spark.table("denied").where("start < '2025-01-02'").collect()}
     assert (1, 2, 1) in got
+
+
+def test_report(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, text string")
+    files.export_report(df, str(tmp_path / "r"), "Counts")
+    assert spark.read.csv(str(tmp_path / "r/csv"), header=True).count() == 2
+    page = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r/markdown")).collect())
+    assert page.startswith("# Counts") and "| 1 | a b |" in page
+
+
+def test_publish_asks_first(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError):
+        files.publish(spark.range(3).toDF("id"), str(tmp_path / "x"), "1", F.col("id") < 2)
+    assert not (tmp_path / "x").exists()
+    files.publish(spark.range(3).toDF("id"), str(tmp_path / "x"), "1", F.col("id") < 3)
+    ids = spark.createDataFrame([(1,), (7,)], "id bigint")
+    assert files.published_rows(spark, str(tmp_path / "x"), ids, "id").count() == 1
+    assert files.uncached(ids, files.published(spark, str(tmp_path / "x")), "id").collect()[0].id == 7

@@ -2,37 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vankho.functions.text import tokens
+from vankho.runtime import cut
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
 def postings(corpus: DataFrame, kind: str = "a") -> DataFrame:
-    """(id, length, term, tf) of corpus(id, text); texts without tokens give no row."""
-    found = corpus.select("id", tokens(F.col("text"), kind).alias("t"))
-    return found.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.max("length").alias("length"), F.count("*").alias("tf"))
+    """(id, length, term, tf) of corpus(id, text); texts without tokens give no row. A text's terms are counted where it lies: no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            kinds = lists.flatten().dictionary_encode()
+            width = max(1, len(kinds.dictionary))
+            pair, tf = np.unique(owner * width + kinds.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, length = pa.array(pair // width), np.bincount(owner, minlength=batch.num_rows)
+            columns = [batch.column(0).take(row), pa.array(length[pair // width].astype(np.int32)), kinds.dictionary.take(pa.array(pair % width)), pa.array(tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "length", "term", "tf"])
+
+    return corpus.select("id", tokens(F.col("text"), kind).alias("t")).mapInArrow(run, "id bigint, length int, term string, tf bigint")
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, kind: str = "a") -> DataFrame:
+def bm25_scores(corpus: DataFrame, queries: DataFrame, kind: str = "a", digits: int = 4) -> DataFrame:
     """(query_id, id, score) of every document of corpus(id, text) that has a term of queries(query_id, text).
 
     Okapi weights; a negative weight becomes FLOOR times the mean weight of the vocabulary; query terms count as often as they occur.
-    Scores are rounded to four digits and ranked as such, ties go by id. Documents without any query term are not listed, nor queries
-    without tokens. Queries meet postings by term, scores are added up before ranking.
+    Scores are rounded to `digits` and ranked as such, ties go by id. Documents without any query term are not listed, nor queries
+    without tokens. The index is written once; queries meet postings by term (a frequent term's partition is split by the engine's
+    handling of skewed joins), and scores are added up before ranking.
     """
-    index = postings(corpus, kind)
-    size = corpus.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.col("text"), kind))).alias("mean"))
+    index = cut(postings(corpus, kind))
+    size = corpus.agg(F.count("*").alias("docs")).crossJoin(index.agg(F.sum("tf").alias("all"))).select("docs", (F.coalesce("all", F.lit(0)) / F.col("docs")).alias("mean"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size.select("docs"))).select("term", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    raw = cut(df.crossJoin(F.broadcast(size.select("docs"))).select("term", F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, FLOOR * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"), kind)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighted = asked.join(idf, "term").join(index, "term").crossJoin(F.broadcast(size.select("mean")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return weighted.groupBy("query_id", "id").agg(F.round(F.sum(part), 4).alias("score"))
+    return weighted.groupBy("query_id", "id").agg(F.round(F.sum(part), digits).alias("score"))
+
+
+def bm25_every(corpus: DataFrame, queries: DataFrame, k: int = 10, kind: str = "a") -> DataFrame:
+    """(query_id, id, score, rank): as `bm25`, but ordered by unrounded scores (ten digits), and documents without a query term follow
+    with score 0 by id, so that every query with tokens has k results where the corpus has as many."""
+    scored = cut(bm25_scores(corpus, queries, kind, 10))
+    # at most k - 1 of the first 2k ids can be among the scored ones of a query that needs more
+    first = corpus.select("id").orderBy("id").limit(2 * k)
+    asked = queries.where(F.size(tokens(F.col("text"), kind)) > 0).select("query_id")
+    few = asked.join(scored.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
+    rest = few.crossJoin(F.broadcast(first)).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.0).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    ranked = scored.unionByName(rest).withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", 4))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, kind: str = "a") -> DataFrame:

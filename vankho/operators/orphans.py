@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vankho.runtime import cut
+
 
 def parent_changes(parents: DataFrame) -> DataFrame:
     """(key, at, change) from parents(key, loaded_at, deleted_at): +1 at loading, -1 at deletion, added up by key and moment.
@@ -38,15 +40,60 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     references(key, at, ...), parents(key, loaded_at, deleted_at). Every reference is probed once; references without key or
     moment give no row; a load at the very moment counts as held, a deletion at the very moment does not.
     """
+    return _probed(references, parent_changes(parents), None)
+
+
+def _probed(references: DataFrame, changes: DataFrame, held: DataFrame | None) -> DataFrame:
+    """References whose key is not held at their moment, by the changes and, before these, by held(key, held)."""
     asked = references.where(F.col("key").isNotNull() & F.col("at").isNotNull()).withColumn("_day", F.to_date("at"))
     days = asked.select("key", F.col("_day").alias("day")).distinct()
-    state = carried_state(parent_changes(parents), days).select(F.col("key").alias("_key"), F.col("day").alias("_d"), "opening", "within")
+    state = carried_state(changes, days)
+    if held is not None:
+        state = state.join(held, "key", "left").withColumn("opening", F.col("opening") + F.coalesce("held", F.lit(0)))
+    state = state.select(F.col("key").alias("_key"), F.col("day").alias("_d"), "opening", "within")
     found = asked.join(state, (F.col("key") == F.col("_key")) & (F.col("_day") == F.col("_d")), "left")
     since = F.aggregate(F.filter("within", lambda e: e["at"] <= F.col("at")), F.lit(0).cast("bigint"), lambda a, e: a + e["change"])
     now = F.coalesce(F.col("opening"), F.lit(0)) + F.coalesce(since, F.lit(0))
     return found.where(now <= 0).drop("_day", "_key", "_d", "opening", "within")
 
 
+def advance(state: DataFrame | None, references: DataFrame, changes: DataFrame, group: str = "source_table") -> tuple[DataFrame, DataFrame]:
+    """(orphans, state) after one more stretch of time, from the state before it (None: nothing yet) and what came within it.
+
+    state(key, group, held, asked): how many parents hold a key, and how many references of each group have asked for it so far; rows
+    without group carry keys that nobody asked for. References probe it, loads and deletions move it; what waits for a key is every
+    reference so far while nobody holds it, so arrivals resolve and deletions reopen without touching single references. The state is
+    a table by key: it can be written, and the next stretch goes on from it.
+    """
+    none = F.lit(None).cast("string")
+    before = None if state is None else state.groupBy("key").agg(F.max("held").alias("held"))
+    orphans = _probed(references, changes, before)
+    asked = references.where(F.col("key").isNotNull() & F.col("at").isNotNull()).groupBy("key", group).agg(F.count("*").alias("asked"))
+    moved = changes.groupBy("key").agg(F.sum("change").cast("bigint").alias("change"))
+    rows = asked.select("key", group, F.lit(0).cast("bigint").alias("change"), "asked").unionByName(moved.select("key", none.alias(group), "change", F.lit(0).cast("bigint").alias("asked")))
+    if state is not None:
+        rows = rows.unionByName(state.select("key", group, F.when(F.col(group).isNull(), F.col("held")).otherwise(0).alias("change"), "asked"))
+    summed = rows.groupBy("key", group).agg(F.sum("change").alias("change"), F.sum("asked").alias("asked"))
+    held = summed.where(F.col(group).isNull()).select("key", F.col("change").alias("held"))
+    after = summed.join(held, "key", "left").select("key", group, F.coalesce("held", F.lit(0)).alias("held"), "asked")
+    return orphans, after
+
+
+def in_stretches(references: DataFrame, parents: DataFrame, starts: list, group: str = "source_table") -> tuple[DataFrame, DataFrame]:
+    """(orphans, state) of the whole history, kept as state from one of `starts` (moments in order) to the next; the state is written at each."""
+    changes = parent_changes(parents)
+    state, found = None, None
+    for i in range(len(starts) + 1):
+        after, before = (starts[i - 1] if i else None), (starts[i] if i < len(starts) else None)
+        inside = F.lit(True)
+        inside = inside if after is None else inside & (F.col("at") >= F.lit(after))
+        inside = inside if before is None else inside & (F.col("at") < F.lit(before))
+        orphans, state = advance(state, references.where(inside), changes.where(inside), group)
+        state = cut(state)
+        found = orphans if found is None else found.unionAll(orphans)
+    return found, state
+
+
 def pending_snapshots(references: DataFrame, parents: DataFrame, group: str = "source_table") -> DataFrame:
     """(group, period, opened, pending): orphans that came up in each month, and how many wait at its end.
 

@@ -24,7 +24,7 @@ def search(spark: SparkSession, d: str, mode: str, k: int = 5) -> DataFrame:
     if mode == "bm25":
         return bm25(_corpus(spark, d), _questions(spark, d), k).select("query_id", "id", "rank")
     if mode == "dense":
-        return _nearest(spark, d, k).join(_questions(spark, d).select("query_id"), "query_id", "left_semi").select("query_id", "id", "rank")
+        return _nearest(spark, d, k, _questions(spark, d)).select("query_id", "id", "rank")
     if mode == "hybrid":
         return _hybrid(spark, d).where(F.col("fused_rank") <= k).select("query_id", "id", F.col("fused_rank").alias("rank"))
     if mode == "rerank":
@@ -38,7 +38,7 @@ _MODES = f"""{_RERANK}, modes AS (SELECT 'bm25' AS mode, query_id, id, rank FROM
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     """All modes one above the other; the lists that the fused modes are made of are searched once."""
     lexical = cut(bm25(_corpus(spark, d), _questions(spark, d), 20))
-    dense = cut(_nearest(spark, d, 20).join(_questions(spark, d).select("query_id"), "query_id", "left_semi"))
+    dense = cut(_nearest(spark, d, 20, _questions(spark, d)))
     fused = cut(fusion.reciprocal(lexical, dense))
     asked = _questions(spark, d).select("query_id", F.array_distinct(tokens(F.col("text"))).alias("qt"))
     texts = table(spark, d, "chunks").select(F.col("row_id").alias("id"), F.array_distinct(tokens(F.col("text"))).alias("ct"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from vankho.functions.docnum import issuers, with_number_key
 from vankho.functions.marks import is_missing
-from vankho.operators.orphans import orphan_references, pending_snapshots
+from vankho.operators.orphans import in_stretches, pending_snapshots
 from vankho.operators.packed import unpack
-from vankho.runtime import table
+from vankho.runtime import cut, table
 
 #: Table, field, and whether its values may stand in square brackets.
 PACKED_FIELDS = [
@@ -56,8 +57,12 @@ def reference_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    references, parents = reference_tables(spark, sf_dir)
-    return orphan_references(references, parents).select("source_table", F.date_format("at", "yyyy-MM").alias("period"), "row_id", "ref_key")
+    """Orphans of the whole history, advanced as state by key from year to year."""
+    references, parents = (cut(df) for df in reference_tables(spark, sf_dir))
+    # a handful of years: the state is written at the end of each
+    span = references.agg(F.min(F.year("at")).alias("a"), F.max(F.year("at")).alias("z")).first()
+    starts = [datetime(year, 1, 1) for year in range(span.a + 1, span.z + 1)] if span.a else []
+    return in_stretches(references, parents, starts)[0].select("source_table", F.date_format("at", "yyyy-MM").alias("period"), "row_id", "ref_key")
 
 
 def p3_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

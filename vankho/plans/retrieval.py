@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vankho.functions.text import LEGAL_TOKEN, tokens
 from vankho.operators import chunking, fusion
 from vankho.operators.dense import cosine_top
-from vankho.operators.lexical import bm25
+from vankho.operators.lexical import bm25, bm25_every
 from vankho.operators.ordered import earliest, following, forward_fill
 from vankho.plans.registry import registry
 from vankho.runtime import cut, table
@@ -50,7 +50,12 @@ def c_slices(spark: SparkSession, d: str) -> DataFrame:
     return chunking.page_slices(_pages(spark, d))
 
 
-@query()
+_SENTENCES = """SELECT doc_id, unnest(chunks) AS text, CAST(generate_subscripts(chunks, 1) - 1 AS INTEGER) AS pos FROM (SELECT doc_id, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS chunks FROM (SELECT doc_id, list_reduce(list_prepend({'done': []::VARCHAR[], 'open': '', 'n': 0::BIGINT}, list_transform(s, lambda x: {'done': []::VARCHAR[], 'open': x, 'n': length(x)})),
+lambda a, b: CASE WHEN a.n + b.n > 800 AND a.n >= 150 THEN {'done': list_append(a.done, a.open), 'open': b.open, 'n': b.n} ELSE {'done': a.done, 'open': CASE WHEN a.open = '' THEN b.open ELSE a.open || ' ' || b.open END, 'n': a.n + b.n} END) AS r
+FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+([\\p{Lu}0-9])', '\\1' || chr(57360) || '\\2', 'g'), '\\n{2,}', chr(57360), 'g'), chr(57360)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)))"""
+
+
+@query(_SENTENCES)
 def c_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Greedy packing of sentences."""
     return chunking.sentence_chunks(table(spark, d, "documents"))
@@ -147,6 +152,15 @@ def l_bm25(spark: SparkSession, d: str) -> DataFrame:
     return bm25(_corpus(spark, d), _questions(spark, d))
 
 
+_EVERY = f"""{_bm25_sql(10).replace(', 4) AS score', ', 10) AS score')}, every AS (SELECT DISTINCT a.query_id, c.id FROM asked a, corpus c), full_ AS (SELECT e.query_id, e.id, coalesce(s.score, 0) AS score FROM every e LEFT JOIN scored s ON s.query_id = e.query_id AND s.id = e.id)"""
+
+
+@query(f"WITH {_EVERY} SELECT query_id, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM full_) WHERE rank <= 10")
+def l_bm25_every(spark: SparkSession, d: str) -> DataFrame:
+    """L1: ordered by unrounded scores, documents without a query term last with score 0."""
+    return bm25_every(_corpus(spark, d), _questions(spark, d))
+
+
 @query(f"WITH {_bm25_sql(20, 'b')} SELECT query_id, id, score, rank FROM lex")
 def l_bm25_words(spark: SparkSession, d: str) -> DataFrame:
     """L2: BM25, tokens with underscores, twenty results."""
@@ -165,9 +179,10 @@ def _cosine_sql(k: int) -> str:
     den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near) WHERE rank <= {k})"""
 
 
-def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, k: int, asked: DataFrame | None = None) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return cosine_top(vectors, vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id"), k)
+    queries = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return cosine_top(vectors, queries if asked is None else queries.join(asked.select("query_id"), "query_id", "left_semi"), k)
 
 
 @query(f"WITH {_cosine_sql(10)} SELECT query_id, id, distance, rank FROM den")
@@ -210,7 +225,7 @@ concat_ws('+', CASE WHEN a.rank IS NOT NULL THEN 'bm25' END, CASE WHEN b.rank IS
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     lexical = bm25(_corpus(spark, d), _questions(spark, d), 20)
-    dense = _nearest(spark, d, 20).join(_questions(spark, d).select("query_id"), "query_id", "left_semi")
+    dense = _nearest(spark, d, 20, _questions(spark, d))
     return fusion.reciprocal(lexical, dense)
 
 
@@ -275,7 +290,12 @@ def x_parents(spark: SparkSession, d: str) -> DataFrame:
     return _parents(spark, d)
 
 
-@query()
+_BUDGET = f"""WITH {_XPAR}, sizes AS (SELECT parent_id, chars FROM {_PARENTS}), l AS (SELECT query_id, list({{'used': 0::BIGINT, 'kept': [{{'p': parent_id, 'c': chars}}]}} ORDER BY rank) AS all_ FROM pr JOIN sizes USING (parent_id) WHERE rank <= 10 GROUP BY query_id),
+f AS (SELECT query_id, list_reduce(list_prepend({{'used': 0::BIGINT, 'kept': []::STRUCT(p VARCHAR, c BIGINT)[]}}, all_), lambda a, b: CASE WHEN len(a.kept) = 0 OR a.used + b.kept[1].c <= 2500 THEN {{'used': a.used + b.kept[1].c, 'kept': list_append(a.kept, b.kept[1])}} ELSE a END) AS r FROM l)
+SELECT query_id, r.used AS used, CAST(generate_subscripts(r.kept, 1) - 1 AS INTEGER) AS place, unnest(list_transform(r.kept, lambda x: x.p)) AS parent_id FROM f"""
+
+
+@query(_BUDGET)
 def x_budget(spark: SparkSession, d: str) -> DataFrame:
     """X11: parents that fit the context budget."""
     sizes = chunking.parents(table(spark, d, "chunks")).select("parent_id", F.col("chars").cast("bigint").alias("chars"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHUNK = "chunk_id string, strategy string, source string, page_start int, page_end int, text string, structure struct<chapter:string,section:string,article:string,clause:string,point:string>"
@@ -96,8 +96,11 @@ class _Blocks(HTMLParser):
         elif tag == "table" and self.depth:
             self.depth -= 1
             if not self.depth and self.rows is not None:
-                lines = ["| " + " | ".join(" ".join(c.split()) for c in r) + " |" for r in self.rows if r]
-                if lines:
+                rows = [[" ".join(c.split()) for c in r] for r in self.rows if r]
+                # a few rows of two cells are the letterhead, not a table
+                head = 0 < len(rows) <= 3 and all(len(r) == 2 for r in rows)
+                lines = [" | ".join(r) if head else "| " + " | ".join(r) + " |" for r in rows]
+                if lines and not head:
                     lines.insert(1, "|" + " --- |" * len(self.rows[0]))
                     self.out.append(("table", "table", "\n".join(lines)))
                 self.rows = None
@@ -140,8 +143,13 @@ def html_blocks(df: DataFrame, column: str) -> DataFrame:
     return df.select(*kept, F.posexplode(blocks(F.col(column))).alias("place", "_b")).select(*kept, "place", "_b.*")
 
 
-def publish(df: DataFrame, folder: str, version: str) -> str:
-    """Writes a version beside the earlier ones; readers follow a pointer that is set only when all files are there."""
+def publish(df: DataFrame, folder: str, version: str, good: Column | None = None) -> str:
+    """Writes a version beside the earlier ones; readers follow a pointer that is set only when all files are there.
+
+    With a condition `good`, nothing is written unless every row meets it.
+    """
+    if good is not None and not df.where(~F.coalesce(good, F.lit(False))).isEmpty():
+        raise ValueError("some rows break the contract; nothing was written")
     path = f"{folder}/version={version}"
     df.write.mode("errorifexists").parquet(path)
     pointer = df.sparkSession.createDataFrame([(version,)], "version string")
@@ -153,3 +161,22 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     """The version that the pointer names."""
     version = spark.read.text(f"{folder}/_current").collect()[0].value
     return spark.read.parquet(f"{folder}/version={version}")
+
+
+def published_rows(spark: SparkSession, folder: str, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of the current version by a table of identifiers; unknown ones give none."""
+    return published(spark, folder).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def uncached(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the cache does not hold yet."""
+    return df.join(cache.select(key).distinct(), key, "left_anti")
+
+
+def export_report(df: DataFrame, folder: str, title: str, shown: int = 100) -> None:
+    """CSV of all rows, and a Markdown page with the first `shown` of them as a table."""
+    df.write.mode("overwrite").csv(f"{folder}/csv", header=True)
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\r\n]+", " ")
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    rows = [r.line for r in df.limit(shown).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("line")).collect()]
+    df.sparkSession.createDataFrame([("\n".join([*head, *rows]),)], "text string").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
