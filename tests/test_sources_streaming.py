@@ -2,6 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from vankho.sources import files
 from vankho.streaming.live import denied_by_window, orphan_changes
@@ -52,6 +53,18 @@ def test_orphan_stream(spark, tmp_path, batches):
     q.awaitTermination(120)
     got = [(r.key, r.at.day, r.event, r.n) for r in spark.read.parquet(str(out)).orderBy("at").collect()]
     assert got == [("a", 1, "opened", 1), ("a", 2, "resolved", 1), ("a", 4, "reopened", 2), ("a", 7, "resolved", 2)]
+    # the state kept by stretches of time says the same of every moment between
+    from vankho.operators.orphans import in_stretches
+
+    refs = spark.createDataFrame([(k, at, "t") for k, at, kind in events if kind == "reference"], "key string, at timestamp, source_table string")
+    loads = {("a", day(2)): day(4), ("b", day(5)): None, ("a", day(7)): None}
+    parents = spark.createDataFrame([(k, at, gone) for (k, at), gone in loads.items()], "key string, loaded_at timestamp, deleted_at timestamp")
+    sign = {"opened": 1, "reopened": 1, "resolved": -1}
+    for end in (2, 3, 5, 8):
+        until = day(end)
+        _, state = in_stretches(refs.where(F.col("at") < until), parents.where(F.col("loaded_at") < until).withColumn("deleted_at", F.when(F.col("deleted_at") < until, F.col("deleted_at"))), [])
+        waits = state.where("held <= 0 and source_table is not null").agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+        assert waits == sum(sign[e] * n for _, at, e, n in got if at < end)
 
 
 def test_denied_stream(spark, tmp_path):
@@ -73,8 +86,6 @@ def test_report(spark, tmp_path):
 
 
 def test_publish_asks_first(spark, tmp_path):
-    from pyspark.sql import functions as F
-
     with pytest.raises(ValueError):
         files.publish(spark.range(3).toDF("id"), str(tmp_path / "x"), "1", F.col("id") < 2)
     assert not (tmp_path / "x").exists()

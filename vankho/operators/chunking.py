@@ -86,6 +86,24 @@ def article_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
+def article_corpus(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, place, text): one text per article with document and chapter before it; the preamble comes last, if it has more
+    than 30 characters. An article number met again in a document gets _1, _2 and so on."""
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    chapter = F.last(F.when(F.col("line").rlike(HEADINGS["chapter"]), F.trim("line")), ignorenulls=True).over(run)
+    marked = lines.select("*", F.sum(F.col("line").rlike(HEADINGS["article"]).cast("bigint")).over(run).alias("article"), F.coalesce(chapter, F.lit("Phần mở đầu")).alias("chapter"))
+    body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"))
+    parts = marked.groupBy("doc_id", "article").agg(F.min_by("chapter", "line_no").alias("chapter"), body.alias("body"), F.min_by("line", "line_no").alias("first"))
+    number = F.coalesce(F.nullif(F.regexp_extract("first", "([0-9]+)", 1), F.lit("")), F.lit("0"))
+    base = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.when(F.col("article") == 0, "_preamble").otherwise(F.concat(F.lit("_dieu_"), number)))
+    named = parts.where("article > 0 or length(body) > 30").withColumn("base", base)
+    again = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("article")) - 1
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("article") == 0, "article")).cast("bigint")
+    chunk = F.concat("base", F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(""))
+    return named.select("doc_id", chunk.alias("chunk_id"), place.alias("place"), F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "), "chapter", F.lit("\n"), "body").alias("text"))
+
+
 def _packed_units(text: str, size: int) -> list[str]:
     """Units (paragraphs, lines that begin with a capital) packed while they fit; a longer unit is cut by sentences, then by blanks."""
     out, open_ = [], ""

@@ -326,3 +326,53 @@ def v_endpoints(spark: SparkSession, d: str) -> DataFrame:
     both = edges(spark, d).join(kinds.select(F.col("id").alias("src"), F.col("kind").alias("a")), "src", "left").join(kinds.select(F.col("id").alias("dst"), F.col("kind").alias("b")), "dst", "left")
     outcome = F.when(F.col("a").isNull() | F.col("b").isNull(), "missing end").when((F.col("type") == "THAY_THE") & (F.col("a") != F.col("b")), "other kind").otherwise("ok")
     return both.groupBy("type", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+_KEYS = [("metadata", "id", "row_id"), ("chunks", "chunk_id", "document_id"), ("qa_dataset", "id", "source_chunk_id")]
+
+
+@query(
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows, count(*) FILTER ({k} IS NULL) AS no_key, count({k}) - count(DISTINCT {k}) AS repeated FROM {t}" for t, k, _ in _KEYS) + ") JOIN ("
+    "SELECT 'metadata' AS name, 0::BIGINT AS orphans UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE document_id IS NOT NULL AND document_id NOT IN (SELECT id FROM metadata WHERE id IS NOT NULL) UNION ALL SELECT 'qa_dataset', count(*) FROM qa_dataset WHERE source_chunk_id IS NOT NULL AND source_chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL)) USING (name)"
+)
+def e_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, missing and repeated keys, and references to other tables that lead nowhere."""
+    own = None
+    for name, key, _ in _KEYS:
+        c = table(spark, d, name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.count_if(F.col(key).isNull()).alias("no_key"), (F.count(key) - F.count_distinct(key)).alias("repeated"))
+        own = c if own is None else own.unionAll(c)
+
+    def orphans(name: str, ref: str, target: str, key: str) -> DataFrame:
+        held = table(spark, d, target).select(F.col(key).alias(ref)).where(F.col(ref).isNotNull()).distinct()
+        return table(spark, d, name).where(F.col(ref).isNotNull()).select(ref).join(held, ref, "left_anti").agg(F.lit(name).alias("name"), F.count("*").alias("orphans"))
+
+    found = orphans("chunks", "document_id", "metadata", "id").unionAll(orphans("qa_dataset", "source_chunk_id", "chunks", "chunk_id"))
+    return own.join(found, "name", "left").select("name", "rows", "no_key", "repeated", F.coalesce("orphans", F.lit(0).cast("bigint")).alias("orphans"))
+
+
+@query("SELECT kind, coalesce(official, name) AS canonical, count(*) AS rows, count(DISTINCT name) AS aliases FROM (SELECT 'issuer' AS kind, trim(co_quan_ban_hanh) AS name FROM metadata WHERE trim(co_quan_ban_hanh) <> '') LEFT JOIN (SELECT lower(ten_thuong_goi) AS alias, min(ten_chinh_thuc) AS official FROM issuing_bodies WHERE ten_thuong_goi IS NOT NULL GROUP BY 1) ON lower(name) = alias GROUP BY ALL")
+def e_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Names by their official form, where an everyday name is known for it, and how many writings each has."""
+    names = table(spark, d, "metadata").select(F.lit("issuer").alias("kind"), F.trim("co_quan_ban_hanh").alias("name")).where("name <> ''")
+    known = table(spark, d, "issuing_bodies").where("ten_thuong_goi is not null").groupBy(F.lower("ten_thuong_goi").alias("alias")).agg(F.min("ten_chinh_thuc").alias("official"))
+    joined = names.join(known, F.lower("name") == F.col("alias"), "left")
+    return joined.groupBy("kind", F.coalesce("official", "name").alias("canonical")).agg(F.count("*").alias("rows"), F.count_distinct("name").alias("aliases"))
+
+
+@query(
+    """SELECT 'document' AS entity_type, id AS entity_id, coalesce(so_ky_hieu, '') AS code, '' AS province, coalesce(loai_van_ban, '') AS kind FROM metadata WHERE id IS NOT NULL UNION ALL SELECT 'body', CAST(body_id AS VARCHAR), coalesce(ma_hieu, ''), coalesce(tinh, ''), '' FROM issuing_bodies UNION ALL SELECT 'clause', chunk_id, '', '', coalesce(strategy, '') FROM chunks WHERE chunk_id IS NOT NULL"""
+)
+def e_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Three sources in one wide table, missing fields empty."""
+    documents = table(spark, d, "metadata").where("id is not null").select(F.lit("document").alias("entity_type"), F.col("id").alias("entity_id"), F.col("so_ky_hieu").alias("code"), F.col("loai_van_ban").alias("kind"))
+    bodies = table(spark, d, "issuing_bodies").select(F.lit("body").alias("entity_type"), F.col("body_id").cast("string").alias("entity_id"), F.col("ma_hieu").alias("code"), F.col("tinh").alias("province"))
+    clauses = table(spark, d, "chunks").where("chunk_id is not null").select(F.lit("clause").alias("entity_type"), F.col("chunk_id").alias("entity_id"), F.col("strategy").alias("kind"))
+    return documents.unionByName(bodies, allowMissingColumns=True).unionByName(clauses, allowMissingColumns=True).na.fill("")
+
+
+@query("SELECT a.id, coalesce(nullif(a.linh_vuc, ''), b.linh_vuc) AS linh_vuc, coalesce(nullif(a.nganh, ''), b.nganh) AS nganh FROM (SELECT id, max_by(linh_vuc, row_id) AS linh_vuc, max_by(nganh, row_id) AS nganh FROM (SELECT id, row_id, coalesce(linh_vuc, '') AS linh_vuc, coalesce(nganh, '') AS nganh FROM metadata WHERE id IS NOT NULL) GROUP BY id) a LEFT JOIN (SELECT id, max(nullif(linh_vuc, '')) AS linh_vuc, max(nullif(nganh, '')) AS nganh FROM metadata GROUP BY id) b USING (id)")
+def e_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """The last row of each document; fields that it lacks come from its other rows."""
+    m = table(spark, d, "metadata").where("id is not null").select("id", "row_id", "linh_vuc", "nganh")
+    last = m.groupBy("id").agg(*[F.max_by(F.coalesce(c, F.lit("")), "row_id").alias(c) for c in ("linh_vuc", "nganh")], *[F.max(F.nullif(F.col(c), F.lit(""))).alias("any_" + c) for c in ("linh_vuc", "nganh")])
+    return last.select("id", *[F.coalesce(F.nullif(F.col(c), F.lit("")), "any_" + c).alias(c) for c in ("linh_vuc", "nganh")])

@@ -139,6 +139,35 @@ def c_levels(spark: SparkSession, d: str) -> DataFrame:
     return chunking.level_chunks(table(spark, d, "documents"))
 
 
+_CORPUS = """WITH lines AS (SELECT *, CAST(sum(CAST(regexp_matches(line, '^\\s*(?:ĐIỀU|Điều)\\s+[0-9]+') AS INT)) OVER w AS BIGINT) AS article, coalesce(last_value(CASE WHEN regexp_matches(line, '^\\s*(?:CHƯƠNG|Chương|PHẦN|Phần)\\s+[IVXLCDM0-9]+') THEN trim(line) END IGNORE NULLS) OVER w, 'Phần mở đầu') AS chapter
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+parts AS (SELECT doc_id, article, min_by(chapter, line_no) AS chapter, trim(string_agg(line, chr(10) ORDER BY line_no), ' ') AS body, coalesce(nullif(regexp_extract(min_by(line, line_no), '([0-9]+)', 1), ''), '0') AS number FROM lines GROUP BY doc_id, article),
+named AS (SELECT *, CASE WHEN article = 0 THEN 'doc_' || doc_id || '_preamble' ELSE 'doc_' || doc_id || '_dieu_' || number END AS base FROM parts WHERE article > 0 OR length(body) > 30),
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY article) - 1 AS again FROM named) SELECT doc_id, base || CASE WHEN again > 0 THEN '_' || again ELSE '' END AS chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY article = 0, article) AS place, md5('[' || doc_id || '] ' || chapter || chr(10) || body) AS digest FROM counted"""
+
+
+@query(_CORPUS)
+def c_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The text of every article with its document and chapter, the preamble last, repeated identifiers numbered."""
+    return chunking.article_corpus(table(spark, d, "documents")).select("doc_id", "chunk_id", "place", F.md5("text").alias("digest"))
+
+
+_PAGE = "row_id, structure.article AS head, text FROM chunks WHERE text IS NOT NULL AND structure.article IS NOT NULL"
+_CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT row_id, place, type, tag, text FROM (SELECT row_id, 0 AS place, 'text' AS type, 'h2' AS tag, {_CLEAN.format('head')} AS text FROM (SELECT {_PAGE}) UNION ALL SELECT row_id, 1, 'text', 'p', {_CLEAN.format('text')} FROM (SELECT {_PAGE}) UNION ALL SELECT row_id, 2, 'table', 'table', {_CLEAN.format('head')} || ' | ' || CAST(row_id AS VARCHAR) FROM (SELECT {_PAGE}))")
+def s_html(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of HTML pages: heading, paragraph, and a letterhead of one row."""
+    from vankho.sources.files import html_blocks
+
+    safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    head, text = safe(F.col("structure.article")), safe(F.col("text"))
+    page = F.concat(F.lit("<html><style>p{}</style><div><h2>"), head, F.lit("</h2><p>"), text, F.lit("</p></div><table><tr><td>"), head, F.lit("</td><td>"), F.col("row_id").cast("string"), F.lit("</td></tr></table></html>"))
+    pages = table(spark, d, "chunks").where("text is not null and structure.article is not null").select("row_id", page.alias("html"))
+    return html_blocks(pages, "html").select("row_id", "place", "type", "tag", "text")
+
+
 # hierarchy and parents
 
 _H = f"""placed AS (SELECT p.*, c.text FROM {_PLACED} p JOIN chunks c USING (row_id)), own AS (SELECT *, coalesce(nullif(trim(structure.chapter), ''), {_first_sql("coalesce(text, '')", T.CHAPTER_LINE, 'Chương')}) AS ch,

@@ -102,6 +102,7 @@ class _Blocks(HTMLParser):
                 lines = [" | ".join(r) if head else "| " + " | ".join(r) + " |" for r in rows]
                 if lines and not head:
                     lines.insert(1, "|" + " --- |" * len(self.rows[0]))
+                if lines:
                     self.out.append(("table", "table", "\n".join(lines)))
                 self.rows = None
         elif not self.depth and tag in self._BLOCKS:
