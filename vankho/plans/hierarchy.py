@@ -156,14 +156,14 @@ _PAGE = "row_id, structure.article AS head, text FROM chunks WHERE text IS NOT N
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'), ' ')"
 
 
-@query(f"SELECT row_id, place, type, tag, text FROM (SELECT row_id, 0 AS place, 'text' AS type, 'h2' AS tag, {_CLEAN.format('head')} AS text FROM (SELECT {_PAGE}) UNION ALL SELECT row_id, 1, 'text', 'p', {_CLEAN.format('text')} FROM (SELECT {_PAGE}) UNION ALL SELECT row_id, 2, 'table', 'table', {_CLEAN.format('head')} || ' | ' || CAST(row_id AS VARCHAR) FROM (SELECT {_PAGE}))")
+@query(f"SELECT row_id, place, type, tag, text FROM (SELECT row_id, 0 AS place, 'text' AS type, 'h2' AS tag, {_CLEAN.format('head')} AS text FROM (SELECT {_PAGE}) UNION ALL SELECT row_id, 1, 'text', 'p', {_CLEAN.format('text')} FROM (SELECT {_PAGE}) UNION ALL SELECT row_id, 2, 'table', 'table', 'Việt Nam | ' || CAST(row_id AS VARCHAR) FROM (SELECT {_PAGE}))")
 def s_html(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of HTML pages: heading, paragraph, and a letterhead of one row."""
     from vankho.sources.files import html_blocks
 
     safe = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     head, text = safe(F.col("structure.article")), safe(F.col("text"))
-    page = F.concat(F.lit("<html><style>p{}</style><div><h2>"), head, F.lit("</h2><p>"), text, F.lit("</p></div><table><tr><td>"), head, F.lit("</td><td>"), F.col("row_id").cast("string"), F.lit("</td></tr></table></html>"))
+    page = F.concat(F.lit("<html><style>p{}</style><div><h2>"), head, F.lit("</h2><p>"), text, F.lit("</p></div><table><tr><td>Việt Nam</td><td>"), F.col("row_id").cast("string"), F.lit("</td></tr></table></html>"))
     pages = table(spark, d, "chunks").where("text is not null and structure.article is not null").select("row_id", page.alias("html"))
     return html_blocks(pages, "html").select("row_id", "place", "type", "tag", "text")
 

@@ -56,6 +56,10 @@ def status(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.count_distinct("source").alias("sources"))
 
 
+#: What the first row of a letterhead holds.
+LETTERHEAD = ("CỘNG HÒA", "VIỆT NAM")
+
+
 class _Blocks(HTMLParser):
     """Block elements in order: headings, paragraphs and divisions without blocks of their own; tables as rows of cells."""
 
@@ -97,9 +101,9 @@ class _Blocks(HTMLParser):
             self.depth -= 1
             if not self.depth and self.rows is not None:
                 rows = [[" ".join(c.split()) for c in r] for r in self.rows if r]
-                # a few rows of two cells are the letterhead, not a table
-                head = 0 < len(rows) <= 3 and all(len(r) == 2 for r in rows)
-                lines = [" | ".join(r) if head else "| " + " | ".join(r) + " |" for r in rows]
+                # a few rows that begin with two cells and the country's name are the letterhead, not a table
+                head = 0 < len(rows) <= 3 and len(rows[0]) == 2 and any(w in " ".join(rows[0]).upper() for w in LETTERHEAD)
+                lines = [" | ".join(c for c in r if c) if head else "| " + " | ".join(r) + " |" for r in rows]
                 if lines and not head:
                     lines.insert(1, "|" + " --- |" * len(self.rows[0]))
                 if lines:
