@@ -34,7 +34,7 @@ FILTER_BITS, TABLE_BITS, LARGEST_FILTER = 64, 16, 27
 HELD_WORDS = 1_000_000
 
 #: SimHash blocks and bits of a block; every two blocks are a table. Most bits in which near-duplicates differ: of pairs at SIMILARITY
-#: 97 in 100 are found (tested); up to BLOCKS - 2 bits none is lost in the tables.
+#: 95 in 100 at least are found (tested); up to BLOCKS - 2 bits none is lost in the tables.
 BLOCKS, BLOCK_BITS, HAMMING = 12, 5, 16
 #: Share of a document's characters in messages and residue from which messages are trusted, and most words of a message's line.
 ALONE, MESSAGE_WORDS = 0.6, 30
