@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vankho.functions import text as T
 from vankho.operators import chunking, hierarchy
-from vankho.operators.ordered import greedy_windows
 from vankho.plans.registry import registry
 from vankho.plans.retrieval import _PLACED, _placed
 from vankho.runtime import table
