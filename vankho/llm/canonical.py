@@ -129,7 +129,7 @@ def with_canonical(df: DataFrame, column: str, out: str = "canonical") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        for batch in batches:
+        for batch in C.slices(batches):
             text = batch.column(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), text, canonical_array(text)], names=["row_id", "text", out])
 
@@ -141,7 +141,7 @@ def not_canonical(df: DataFrame, column: str) -> DataFrame:
     import pyarrow.compute as pc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.slices(batches):
             text = batch.column(1).fill_null("")
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pc.not_equal(text, canonical_array(text)))], names=["row_id"])
 

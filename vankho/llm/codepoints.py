@@ -6,10 +6,12 @@ All functions work on a whole batch at once: `cp` holds the code points of all t
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = 0x20
 TABLE = 0x30000
@@ -31,6 +33,21 @@ def decode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cp, lead[offsets - offsets[0]]
 
 
+#: Bytes of text that a task works on at once.
+SLICE = 2_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about SLICE bytes of text in a column, at least one row each: a text is never cut."""
+    for batch in batches:
+        size = pc.binary_length(batch.column(column).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // SLICE
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds, bounds[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def encode(cp: np.ndarray, starts: np.ndarray) -> pa.Array:
     """Arrow string array of a batch."""
     raw = np.ascontiguousarray(cp, np.uint32).tobytes().decode("utf-32-le", "replace").encode("utf-8")

@@ -26,8 +26,6 @@ from vankho.llm.words import words
 from vankho.runtime import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bytes of text that a task works on at once.
-SLICE = 2_000_000
 #: Bits of a filter for each shingle and each key of a table, and of the whole filter at most (its exponent).
 FILTER_BITS, TABLE_BITS, LARGEST_FILTER = 64, 16, 27
 #: Words that a task adds up before it hands them on.
@@ -157,17 +155,6 @@ def _lines(text: pa.Array, doc: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return lines.filter(solid), doc[parent.filter(solid).to_numpy(zero_copy_only=False)]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of batches with about SLICE bytes of text in the second column, at least one row each: a text is never cut."""
-    for batch in batches:
-        size = pc.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = np.cumsum(size) // SLICE
-        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(bounds, bounds[1:]):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def shingles(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all five-word shingles of all segments and the segment of each; shorter segments are one shingle."""
     n = np.diff(starts)
@@ -338,7 +325,7 @@ def segments(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = _Uses()
-        for batch in slices(batches):
+        for batch in C.slices(batches):
             lines, doc = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue
@@ -439,7 +426,7 @@ def touched(documents: DataFrame, frontier: DataFrame, latin: tuple[np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core, whole, tables, foreign = filters.value
-        for batch in slices(batches):
+        for batch in C.slices(batches):
             lines, _ = _lines(batch.column(1), batch.column(0).to_numpy(zero_copy_only=False))
             if not len(lines):
                 continue

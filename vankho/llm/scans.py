@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vankho.functions.marks import fold
 from vankho.llm.canonical import canonical_array
+from vankho.llm.codepoints import slices
 from vankho.operators.ordered import earliest, following, forward_fill
 from vankho.runtime import broadcast_within, cut
 
@@ -61,7 +62,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], canonical_array(batch.column(3))], names=["row_id", "source", "page", "text"])
 
     own = F.coalesce("source", F.concat(F.lit("\x00"), F.col("row_id").cast("string")))
