@@ -215,6 +215,13 @@ def k_normalise(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label").agg(F.round(F.avg(F.get("v", F.lit(0))), 4).alias("mean"))
 
 
+@query("SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 2 = 0) GROUP BY label, pos")
+def k_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """masked mean pooling: the mean of each component over the rows under the mask (even ids), by label."""
+    masked = table(spark, d, "embeddings").where("vec_id % 2 = 0").select("label", F.posexplode("embedding").alias("pos", "v"))
+    return masked.groupBy("label", "pos").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
 # fusion, rerank, gate, parents
 
 _RRF = f"""{_bm25_sql(20)}, {_cosine_sql(20)}, dn AS (SELECT * FROM den WHERE query_id IN (SELECT row_id FROM questions WHERE question IS NOT NULL)),
