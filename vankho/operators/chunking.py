@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,7 +127,8 @@ def unit_chunks(docs: DataFrame, size: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             lists = [_packed_units(t, size) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].repeat([len(x) for x in lists]).to_numpy(), "pos": [i for x in lists for i in range(len(x))], "text": [c for x in lists for c in x]})
+            owner = np.repeat(frame["doc_id"].to_numpy(), [len(x) for x in lists])
+            yield pd.DataFrame({"doc_id": owner, "pos": np.array([i for x in lists for i in range(len(x))], np.int64), "text": np.array([c for x in lists for c in x], object)})
 
     return docs.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, pos bigint, text string")
 
