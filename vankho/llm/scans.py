@@ -353,8 +353,8 @@ def _paragraphs(a: dict[str, DataFrame]) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["line"] = [with_words(line, {f["at"]: f["correction"] for f in fixes}) for line, fixes in zip(frame["line"], frame["fixes"])]
-            yield frame[["row_id", "line_no", "line"]]
+            mended = [with_words(line, {f["at"]: f["correction"] for f in fixes}) for line, fixes in zip(frame["line"], frame["fixes"])]
+            yield pd.DataFrame({"row_id": frame["row_id"], "line_no": frame["line_no"], "line": np.array(mended, object)})
 
     fixes = a["misread"].where("correction is not null").groupBy("row_id", "line_no").agg(F.collect_list(F.struct("at", "correction")).alias("fixes"))
     mended = a["body"].select("row_id", "line_no", "line").join(fixes.hint("merge"), ["row_id", "line_no"]).mapInPandas(run, "row_id bigint, line_no int, line string")
