@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -351,19 +350,19 @@ def _paragraphs(a: dict[str, DataFrame]) -> DataFrame:
     A last paragraph that ends with the first half of a word keeps a mark at its end.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            mended = [with_words(line, {f["at"]: f["correction"] for f in fixes}) for line, fixes in zip(frame["line"], frame["fixes"])]
-            yield pd.DataFrame({"row_id": frame["row_id"], "line_no": frame["line_no"], "line": np.array(mended, object)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mended = [with_words(line, {f["at"]: f["correction"] for f in fixes}) for line, fixes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mended, pa.string())], names=["row_id", "line_no", "line"])
 
     fixes = a["misread"].where("correction is not null").groupBy("row_id", "line_no").agg(F.collect_list(F.struct("at", "correction")).alias("fixes"))
-    mended = a["body"].select("row_id", "line_no", "line").join(fixes.hint("merge"), ["row_id", "line_no"]).mapInPandas(run, "row_id bigint, line_no int, line string")
+    mended = a["body"].select("row_id", "line_no", "line").join(fixes.hint("merge"), ["row_id", "line_no"]).select("row_id", "line_no", "line", "fixes").mapInArrow(run, "row_id bigint, line_no int, line string")
     # what belongs to a page is gathered first, so that pages are joined once, never line by line and never by broadcast
     by_page = lambda df, value, name: df.groupBy("row_id").agg(F.collect_list(value).alias(name)).hint("merge")
     parts = a["pages"].select("row_id", "source", "page", "lines")
     parts = parts.join(by_page(a["furniture"], "line_no", "taken"), "row_id", "left").join(by_page(a["halves"], "line_no", "cut"), "row_id", "left").join(by_page(mended, F.struct("line_no", "line"), "mended"), "row_id", "left")
     none = lambda c: F.coalesce(c, F.array().cast("array<int>"))
-    lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.coalesce(F.try_element_at(F.map_from_entries("mended"), i + 1), x).alias("line")))
+    lines = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), F.coalesce(F.get(F.filter("mended", lambda m: m["line_no"] == i + 1), F.lit(0))["line"], x).alias("line")))
     kept = parts.select("row_id", "source", "page", none("cut").alias("cut"), F.filter(lines, lambda e: ~F.array_contains(none("taken"), e["line_no"])).alias("kept"))
     flat = F.transform("kept", lambda e: F.when(F.array_contains("cut", e["line_no"]), F.concat(F.regexp_replace(F.trim(e["line"]), r"[-¬‐]$", ""), F.lit(_OPEN))).otherwise(F.trim(e["line"])))
     whole = F.regexp_replace(F.array_join(flat, "\n"), f"{_OPEN}\n+(?!$)", "")
