@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from vankho.functions import checks
 from vankho.functions import text as T
-from vankho.operators import access, chunking, fusion, graph
+from vankho.operators import access, chunking, fusion, graph, lexical
 from vankho.operators.dense import cosine_top
-from vankho.operators.lexical import bm25
+from vankho.operators.lexical import bm25, bm25_scores
 from vankho.operators.ordered import following, forward_fill, latest, running_total
 
 
@@ -89,6 +89,23 @@ def test_bm25_against_plain_python(spark):
         assert got.get(i, 0) == pytest.approx(score, abs=1e-4)
 
 
+@pytest.mark.parametrize("words", [300, 12, 3])
+def test_bm25_in_blocks_keeps_the_best_of_all_scores(spark, monkeypatch, words):
+    """Blocks of queries and rows, frequent and rare words, equal texts, and weights below zero (3 words, all frequent)."""
+    for name, value in {"QUERY_BLOCK": 7, "ROW_BLOCK": 60, "ROWS": 16, "TOGETHER": 3, "FULL": 4}.items():
+        monkeypatch.setattr(lexical, name, value)
+    rnd = random.Random(words)
+    text = lambda n: " ".join(f"w{min(rnd.randrange(words), rnd.randrange(words))}" for _ in range(n))
+    texts = [text(rnd.randrange(3 if words == 3 else 0, 9)) for _ in range(150)]
+    corpus = spark.createDataFrame([(i * 7 % 1009, rnd.choice(texts)) for i in range(300)] + [(2000, None), (2001, "")], "id bigint, text string")
+    queries = spark.createDataFrame([(i, text(rnd.randrange(0, 6))) for i in range(20)] + [(90, None), (91, "nowhere")], "query_id bigint, text string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    want = bm25_scores(corpus, queries).withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    found = bm25(corpus, queries, 5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # before, every score of every query was joined and shuffled
+    assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_cosine_in_blocks(spark):
     rnd = np.random.default_rng(1)
     m = rnd.normal(size=(60, 8))
