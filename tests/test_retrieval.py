@@ -183,3 +183,18 @@ def test_order_of_chunks_does_not_wrap_at_a_million_rows(spark, tmp_path):
     df.write.parquet(str(tmp_path / "chunks.parquet"))
     assert {tuple(r) for r in c_next(spark, str(tmp_path)).collect()} == set(zip(ids, ids[1:]))
     assert {r.chapter for r in h_resolve(spark, str(tmp_path)).collect()} == {"Chương I"}
+
+
+def test_factor_searches_once(spark, monkeypatch):
+    from vankho.plans import answers, retrieval
+
+    calls = []
+
+    def counted(*args):
+        calls.append(args)
+        return bm25(*args)
+
+    for module in (answers, retrieval):
+        monkeypatch.setattr(module, "bm25", counted)
+    assert answers.x_factor(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1  # before, the children were searched a second time for their parents
