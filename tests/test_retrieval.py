@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -106,6 +107,42 @@ def test_bm25_in_blocks_keeps_the_best_of_all_scores(spark, monkeypatch, words):
     assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("kind", ["a", "b", "c"])
+def test_bm25_counts_the_tokens_that_spark_finds(spark, kind):
+    """Letters of several lengths in bytes, letters that lower to two characters or by their place, NULs, joints, empty and null texts."""
+    texts = ["Điều 12/2023/TT-NHNN, điều_lệ -a/b.-", None, "", " ..- ", "İstanbul ΣΟΦΟΣ σ", "a\0b", "ⅷ x² 𝒳y 中文 ９", "tie\u0302\u0301ng", "\0", "ĐIỀU điều Điều"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    want = [list(r.t) for r in df.orderBy("id").select(T.tokens(F.col("text"), kind).alias("t")).collect()]
+    terms, code, owner = lexical._tokens(pa.array(texts), lexical._Letters(kind))
+    assert [[terms[int(c)].as_py() for c in code[owner == i]] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize(("words", "few"), [(40, False), (12, True), (40, True)])
+def test_bm25_adds_up_what_queries_share_once(monkeypatch, words, few):
+    """Sums shared by queries against sums of each row, with little room for shared ones, also for weights of zero and below."""
+    for name, value in {"DEPTH": 2, "PENDING": 30, "TOGETHER": 3, "FULL": 24, "WORTH": 2, "RARE": 4}.items():
+        monkeypatch.setattr(lexical, name, value)
+    monkeypatch.setattr(lexical, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+    rnd = random.Random(words)
+    text = lambda n: " ".join(f"w{min(rnd.randrange(words), rnd.randrange(words))}" for _ in range(n))
+    rows = [(i * 7 % 1009, text(rnd.randrange(0, 9))) for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    asked = [" ".join(dict.fromkeys(text(rnd.randrange(1, 9)).split())) for _ in range(60)]
+    weights = [[[2.0, -1.0, 0.0][int(w[1:]) % 3] if few else 1.0 + int(w[1:]) / 7 for w in q.split()] for q in asked]
+    best = lexical._Best(pa.array(asked), pa.array(weights, pa.list_(pa.float64())), 4.0, 5, 4)
+    assert best.pairs and sum(map(len, best.sums)) < sum(map(len, best.columns))  # before, every term of every query was added up by itself
+    for block in lexical._blocked(64, "a")(iter([batch])):
+        best.add({n: block[n][0] for n in block.schema.names})
+    for q, (terms, w) in enumerate(zip(asked, weights)):
+        want = []
+        for i, t in rows:
+            own = t.split()
+            parts = [x * own.count(y) * 2.5 / (own.count(y) + 1.5 * (0.25 + 0.75 * len(own) / 4.0)) for x, y in zip(w, terms.split()) if y in own]
+            if parts:
+                want.append((-math.copysign(math.floor(abs(sum(parts)) * 1e4 + 0.5), sum(parts)) / 1e4, i))
+        assert list(zip((-best.score[q, : best.count[q]]).tolist(), best.id[q, : best.count[q]].tolist())) == sorted(want)[:5]
+
+
 def test_cosine_in_blocks(spark):
     rnd = np.random.default_rng(1)
     m = rnd.normal(size=(60, 8))
