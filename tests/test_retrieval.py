@@ -235,3 +235,14 @@ def test_factor_searches_once(spark, monkeypatch):
         monkeypatch.setattr(module, "bm25", counted)
     assert answers.x_factor(spark, "/root/testdata/sf0.001").count() > 0
     assert len(calls) == 1  # before, the children were searched a second time for their parents
+
+
+@pytest.mark.parametrize("name", ["x_rerank", "x_comparison"])
+def test_only_candidates_texts_are_split_for_the_rerank(spark, name):
+    from vankho.plans import answers, retrieval
+
+    found = {**retrieval.QUERIES, **answers.QUERIES}[name](spark, "/root/testdata/sf0.001")
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    split = [i for i, x in enumerate(lines) if "regexp_extract_all(lower(coalesce(text#" in x]
+    join = max(i for i, x in enumerate(lines) if "Join LeftOuter" in x)
+    assert split and max(split) < join  # before, the tokens of every chunk were found and shuffled
